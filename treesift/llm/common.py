@@ -89,8 +89,8 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about CHUNK_BYTES of its text column, a single longer text alone."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about `most` bytes of its text column, a single longer text alone."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -98,7 +98,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         first = 0
         while first < b.num_rows:
             done = size[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(size, done + CHUNK_BYTES, side="right")))
+            last = max(first + 1, int(np.searchsorted(size, done + most, side="right")))
             yield b.slice(first, last - first)
             first = last
 

@@ -13,11 +13,12 @@ of any length is one document of one segment. An empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ ESCAPE = 0
 #: Segments of one file at most; a segment has about CHUNK_BYTES of text.
 SEGMENTS_PER_FILE = 16
 #: Pre-tokens that a worker remembers between chunks.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -48,12 +49,20 @@ def _widths(ids: np.ndarray) -> np.ndarray:
     return np.array([b for _, b in SELECTORS] + [64], np.uint8)[place]
 
 
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Words, and the word at which each block starts. In a block, each word takes as many values as it can."""
+def encode_blocks(ids: np.ndarray, block: int = BLOCK, at_once: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Words, and the word at which each block starts. In a block, each word takes as many values as it can; `at_once` blocks are encoded at a time."""
+    words, starts, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], 0
+    for first in range(0, len(ids), at_once * block):
+        w, s = _encode_some(ids[first : first + at_once * block], block)
+        words.append(w)
+        starts.append((s + before).astype(np.uint32))
+        before += len(w)
+    return np.concatenate(words), np.concatenate(starts)
+
+
+def _encode_some(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     ids = ids.astype(np.uint64)
     n_blocks = -(-len(ids) // block)
-    if not n_blocks:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     values = np.zeros((n_blocks, block + 60), np.uint64)  # zeros behind a block fill its last word
     padded = np.zeros(n_blocks * block, np.uint64)
     padded[: len(ids)] = ids
@@ -104,7 +113,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
                 word |= flat[first[own] + j] << np.uint64(4 + j * bits)
             words[place[own]] = word
     starts = place[np.searchsorted(row, np.arange(n_blocks))]
-    return words, starts.astype(np.uint32)
+    return words, starts
 
 
 def decode_blocks(words: np.ndarray, starts: np.ndarray, n_ids: int, block: int = BLOCK) -> np.ndarray:
@@ -175,8 +184,9 @@ class WordEncoder:
     once; any other word goes through the whole library.
     """
 
-    _plain = re.compile(r"[!-~À-ÖØ-öø-įı-ɏ]+")
-    _cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9]+")
+    _plain = "^[!-~À-ÖØ-öø-įı-ɏ]+$"
+    #: The model's pattern, as far as such words need it.
+    _cut = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9]+)"
 
     def __init__(self, model: bytes):
         from tokenizers import Tokenizer
@@ -193,31 +203,57 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     @staticmethod
-    def _pack(encodings: list) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in encodings]
+    def _encoded(model, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in model.encode_batch_fast(words, add_special_tokens=False)] if words else []
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word's ids start, how many they are, and all ids joined."""
+        plain = pc.and_not(pc.match_substring_regex(words, self._plain), pc.match_substring(words, "<|")) if self.fast else pa.array(np.zeros(len(words), bool))
+        parts = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), self._cut, "\\1\x01"), "\x01")
+        coded = parts.flatten().dictionary_encode()
+        lens, flat = self._joined(self._pretokens(coded.dictionary.to_pylist()))
+        codes = coded.indices.to_numpy()
+        own = by_row(lens[codes], parts.offsets.to_numpy().astype(np.int64))
+        own_flat = gather(np.cumsum(lens) - lens, lens, codes, flat)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        rest, rest_flat = self._joined(self._encoded(self.whole, words.filter(pc.invert(plain)).to_pylist()))
+        n, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        n[is_plain], n[~is_plain] = own, rest
+        starts[is_plain], starts[~is_plain] = np.cumsum(own) - own, len(own_flat) + np.cumsum(rest) - rest
+        return starts, n, np.concatenate([own_flat, rest_flat])
+
+    @staticmethod
+    def _joined(made: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(map(len, made), np.int64, len(made)) // 4, np.frombuffer(b"".join(made), "<u4")
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as little-endian bytes."""
-        cut = [self._cut.findall(w.lower()) if self.fast and "<|" not in w and self._plain.fullmatch(w) else None for w in words]
+    def _pretokens(self, distinct: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({p for parts in cut if parts for p in parts if p not in self.known})
-        self.known.update(zip(new, self._pack(self.pieces.encode_batch_fast(new, add_special_tokens=False)) if new else (), strict=True))
-        rest = [k for k, (w, parts) in enumerate(zip(words, cut, strict=True)) if parts is None and w]
-        whole = dict(zip(rest, self._pack(self.whole.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)) if rest else (), strict=True))
-        known = self.known
-        return [known[parts[0]] if parts and len(parts) == 1 else b"".join([known[p] for p in parts]) if parts else whole.get(k, b"") for k, parts in enumerate(cut)]
+        self.known[""] = b""
+        collecting = gc.isenabled()
+        gc.disable()  # hundreds of thousands of short lists, none in a cycle
+        try:
+            made = list(map(self.known.get, distinct))
+            new = [k for k, v in enumerate(made) if v is None]
+            names = [distinct[k] for k in new]
+            ids = self._encoded(self.pieces, names)
+        finally:
+            if collecting:
+                gc.enable()
+        for k, v in zip(new, ids, strict=True):
+            made[k] = v
+        self.known.update(zip(names, ids, strict=True))
+        return made
 
     def texts(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (no nulls) joined, each with the end id behind it, and how many each has."""
         split = pc.ascii_split_whitespace(text)
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        made = [*self.words(coded.dictionary.to_pylist()), np.array([end_id], "<u4").tobytes()]
-        lens = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        codes = np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:], len(made) - 1)
-        ids = gather(np.cumsum(lens) - lens, lens, codes, np.frombuffer(b"".join(made), "<u4"))
-        return ids, by_row(lens[codes], offsets + np.arange(len(offsets)))
+        starts, lens, flat = self.words(coded.dictionary)
+        starts, lens, flat = np.append(starts, len(flat)), np.append(lens, 1), np.append(flat, np.uint32(end_id))
+        codes = np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:], len(lens) - 1)
+        return gather(starts, lens, codes, flat), by_row(lens[codes], offsets + np.arange(len(offsets)))
 
 
 def word_encoder(model: bytes) -> WordEncoder:
