@@ -13,7 +13,8 @@ Documents' hashes are probed as they are generated, against the sketch as a broa
 BROADCAST_ROWS rows, beyond that in a shuffled join. Items with fewer than five words are one shingle of all their
 words, sought among the document windows of that length. Null or wordless texts hold nothing and are held by nothing.
 Repeated items and documents each count; rows that share an id are merged into one result row, with the most shingles shared.
-Empty tables give no rows.
+Rows without an id
+are named by no result row. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -1,13 +1,13 @@
 """Token ids in binary files: Simple-8b words with escapes and per-block offsets.
 
-A file is a row of segments. Each has a head, the documents' ids and token counts, the offset of each block of BLOCK
+A file is a row of segments. Each has a head, the documents' ids (with a byte each for whether there is one) and token counts, the offset of each block of BLOCK
 tokens, then 64-bit little-endian words, and ends in a newline (the line separator of Spark's text writer, which stores
 the segments through its committer). A word's low four bits select how many values of how many bits follow (SELECTORS);
 selector 0 is an escape: the next word is one whole 64-bit value. A block starts at a word of its own, so blocks decode
 independently, and all words with one selector decode in one array step.
 
 Documents are range-partitioned and sorted by (id, text), so a file holds a range of ids. Null and empty texts have the
-end id alone. Rows that share an id are ordered by text; equal rows are interchangeable. Null ids are refused. A text
+end id alone. Rows that share an id are ordered by text; equal rows are interchangeable. Null ids come first. A text
 of any length is one document of one segment. An empty table gives no rows.
 """
 
@@ -151,13 +151,15 @@ def decode_blocks(words: np.ndarray, starts: np.ndarray, n_ids: int, block: int
     return out
 
 
-def write_segment(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+def write_segment(doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    named = pc.is_valid(doc_ids).to_numpy(zero_copy_only=False).astype(np.uint8)
+    names = pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False)
     words, starts = encode_blocks(ids)
     head = _HEAD.pack(MAGIC, BLOCK, len(doc_ids), len(ids), len(words), len(starts))
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), counts.astype("<u8").tobytes(), starts.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
+    return b"".join([head, names.astype("<i8").tobytes(), named.tobytes(), counts.astype("<u8").tobytes(), starts.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
 
 
-def read_segments(data: memoryview) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def read_segments(data: memoryview) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(document ids, token counts, ids) of each segment of a file."""
     at = 0
     while at < len(data):
@@ -166,14 +168,14 @@ def read_segments(data: memoryview) -> Iterator[tuple[np.ndarray, np.ndarray, np
             raise ValueError("no segment starts here")
         at += _HEAD.size
         parts = []
-        for kind, n in (("<i8", n_docs), ("<u8", n_docs), ("<u4", n_blocks), ("<u8", n_words)):
+        for kind, n in (("<i8", n_docs), ("u1", n_docs), ("<u8", n_docs), ("<u4", n_blocks), ("<u8", n_words)):
             end = at + n * np.dtype(kind).itemsize
             parts.append(np.frombuffer(data[at:end], kind))
             at = end
         if data[at : at + 1] != b"\n":
             raise ValueError("a segment's end is missing")
         at += 1
-        yield parts[0], parts[1].astype(np.int64), decode_blocks(parts[3], parts[2], n_ids, block)
+        yield pa.array(parts[0].astype(np.int64), mask=parts[1] == 0), parts[2].astype(np.int64), decode_blocks(parts[4], parts[3], n_ids, block)
 
 
 class WordEncoder:
@@ -268,7 +270,7 @@ def write_token_files(df: DataFrame, path: str, model_path: str, id_col: str = "
     spark = df.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(read_model(model_path))  # a model file: 49,000 words, 1.7 MB
-    rows = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.raise_error(F.lit("a document has no id")).cast("bigint")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # the bounds are sampled from the ids alone; equal ids meet in one partition
     ordered = rows.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id").sortWithinPartitions("id", "text")
 
@@ -281,7 +283,7 @@ def write_token_files(df: DataFrame, path: str, model_path: str, id_col: str = "
         encoder = word_encoder(model.value)
         for b in chunks(batches, "text"):
             ids, counts = encoder.texts(compact(b.column(1)), end_id)
-            yield pa.RecordBatch.from_arrays([pa.array([write_segment(b.column(0).to_numpy(), counts, ids)], pa.binary())], names=["segment"])
+            yield pa.RecordBatch.from_arrays([pa.array([write_segment(b.column(0), counts, ids)], pa.binary())], names=["segment"])
 
     made = ordered.mapInArrow(segments, "segment binary").select(F.col("segment").cast("string").alias("value"))
     made.write.option("lineSep", "\n").option("maxRecordsPerFile", SEGMENTS_PER_FILE).text(path)
@@ -303,7 +305,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     raw = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
                     first = np.concatenate([[0], np.cumsum(counts)])
                     crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                    arrays = [pa.array([name.as_py()] * len(docs), pa.string()), pa.array(docs.astype(np.int64)), pa.array(first[:-1] + start), pa.array(counts), pa.array(crc, pa.int64())]
+                    arrays = [pa.array([name.as_py()] * len(docs), pa.string()), docs, pa.array(first[:-1] + start), pa.array(counts), pa.array(crc, pa.int64())]
                     names = ["file", "doc_id", "local_start", "n_tokens", "ids_crc32"]
                     if with_ids:
                         arrays.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))))
@@ -321,7 +323,7 @@ def token_file_index(spark: SparkSession, path: str) -> DataFrame:
     """
     docs = checkpointed(read_token_files(spark, path))
     sizes = docs.groupBy("file").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("trail"), F.sum("n_tokens").alias("size"))
-    before = Window.orderBy("lead", "trail", "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.asc_nulls_first("lead"), "trail", "file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("file").alias("of"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
     return docs.join(offsets, F.col("file") == F.col("of")).select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -97,8 +97,8 @@ class Unigram:
     def __init__(self, pieces: Sequence[tuple[str, float, int]]):
         normal = [(p.encode(), k) for k, (p, _, kind) in enumerate(pieces) if kind in (_NORMAL, _USER)]
         self.trie = DoubleArray(normal)
-        self.score = np.array([s for _, s, _ in pieces], np.float32)
-        self.unknown = np.float32(min((s for _, s, kind in pieces if kind == _NORMAL), default=0.0) - UNKNOWN_PENALTY)
+        self.score = np.array([s for _, s, _ in pieces], np.float64)
+        self.unknown = min((s for _, s, kind in pieces if kind == _NORMAL), default=0.0) - UNKNOWN_PENALTY
         self.byte_id = np.zeros(256, np.int32)
         for k, (p, _, kind) in enumerate(pieces):
             if kind == _BYTE:
@@ -114,7 +114,7 @@ class Unigram:
         """Ids of every byte string (marks already in place): starts, lengths and the ids joined."""
         lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
         order = np.argsort(lens, kind="stable")
-        counts, found = np.zeros(len(tokens), np.int64), [np.zeros(0, np.int32)] * 0
+        counts, found = np.zeros(len(tokens), np.int64), []
         at = 0
         while at < len(order):
             length = int(lens[order[at]])
@@ -137,7 +137,7 @@ class Unigram:
         """Viterbi for rows of one length: ids of all rows joined, and how many each has."""
         n, length = text.shape
         t = self.trie
-        best = np.full((length + 1, n), -np.inf, np.float32)
+        best = np.full((length + 1, n), -np.inf)  # in doubles: in single precision an unknown's score would drown the pieces'
         best[0] = 0
         back, piece = np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -1, np.int32)
         lead = (text & 0xC0) != 0x80

@@ -7,7 +7,7 @@ knows, and a task that runs again replaces its files.
 
 Rows: a null payload is empty. Records with equal payloads of at least `min_revisit_bytes` bytes are grouped by SHA-1;
 the largest id is the response, the others revisit it. Rows repeated with the same id and payload count as that one
-record. Payloads below the bound are all responses. An empty table gives no archive and no row.
+record. Payloads below the bound, and rows without an id, are all responses. An empty table gives no archive and no row.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
     spark = df.sparkSession
     ship(spark)
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    keyed = rows.where(F.octet_length("payload") >= min_revisit_bytes).select("id", F.unhex(F.sha1(F.col("payload").cast("binary"))).alias("digest"))
+    keyed = rows.where((F.octet_length("payload") >= min_revisit_bytes) & F.col("id").isNotNull()).select("id", F.unhex(F.sha1(F.col("payload").cast("binary"))).alias("digest"))
     shared = keyed.groupBy("digest").agg(F.max("id").alias("refers_to"), F.min("id").alias("least")).where("least < refers_to").drop("least")
     revisits = keyed.join(shared, "digest").where("id < refers_to").groupBy("id", "digest").agg(F.max("refers_to").alias("refers_to"))
     whole = rows.withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary")))).join(revisits, ["id", "digest"], "left").select("id", "url", "payload", "refers_to")
@@ -196,7 +196,8 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> Da
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "block"])
 
         def number(urn: str | None) -> int | None:
-            return None if urn is None else int(urn.strip("<>").rpartition(":")[2])
+            name = (urn or "").strip("<>").rpartition(":")[2]
+            return int(name) if name not in ("", "None") else None
 
         for b in batches:
             for content in b.column(0):
