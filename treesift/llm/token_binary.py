@@ -36,10 +36,12 @@ END_ID = 1
 #: (values, bits) of selectors 1 to 14, most values first.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 0
-#: Segments of one file at most; a segment has about CHUNK_BYTES of text.
+#: Segments of one file at most; a segment has about ENCODE_BYTES of text.
 SEGMENTS_PER_FILE = 16
 #: Pre-tokens that a worker remembers between chunks.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
+#: Text that is encoded at a time.
+ENCODE_BYTES = 6 << 20
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -278,10 +280,10 @@ def write_token_files(df: DataFrame, path: str, model_path: str, id_col: str = "
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from treesift.llm.token_binary import word_encoder, write_segment
+        from treesift.llm.token_binary import ENCODE_BYTES, word_encoder, write_segment
 
         encoder = word_encoder(model.value)
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", ENCODE_BYTES):
             ids, counts = encoder.texts(compact(b.column(1)), end_id)
             yield pa.RecordBatch.from_arrays([pa.array([write_segment(b.column(0), counts, ids)], pa.binary())], names=["segment"])
 
