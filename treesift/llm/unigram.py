@@ -31,6 +31,8 @@ from treesift.llm.common import by_row, chunks, compact, gather, id_field, read_
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Text that is encoded and decoded at a time.
+CODE_BYTES = 4 << 20
 _NORMAL, _UNKNOWN, _BYTE, _USER = 1, 2, 6, 4
 _PRETOKEN = re.compile(r"^[^ ]+| +[^ ]*")
 
@@ -250,10 +252,10 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     schema = f"__id {id_field(df, id_col)}, n_pieces bigint, n_byte_pieces bigint, ids_crc32 bigint, text_crc32 bigint, round_trip boolean" + ", piece_ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from treesift.llm.unigram import MARK, unigram
+        from treesift.llm.unigram import CODE_BYTES, MARK, unigram
 
         coder = unigram(model.value)
-        for b in chunks(batches, "__text"):
+        for b in chunks(batches, "__text", CODE_BYTES):
             text = compact(b.column(1))
             ids, n = coder.encode(text)
             ids = ids.astype("<u4")
