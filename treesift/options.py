@@ -7,6 +7,21 @@ from dataclasses import dataclass, field
 
 STYLES = ("text", "json", "xml", "html", "sdparams", "csv", "cbor", "fullpath")
 FLAGS = ("pretty", "underscores", "keys", "units", "xpath", "info", "no-humanize", "no-top", "not-first", "color", "utf8", "no-locale", "flush", "flush-line", "warn", "dtrt")
+#: Brief letters, as in `:JP`, and the words they stand for; `i` takes a number.
+LETTERS = {"c": "color", "f": "flush", "F": "flush-line", "H": "html", "I": "info", "J": "json", "k": "keys", "n": "no-humanize", "P": "pretty", "T": "text", "U": "units", "u": "underscores", "W": "warn", "X": "xml", "x": "xpath"}
+
+
+def _brief(letters: str) -> list[str]:
+    """The words of brief letters."""
+    words = []
+    for letter, number in re.findall(r"(.)(\d*)", letters):
+        if letter == "i" and number:
+            words.append(f"indent={number}")
+        elif letter in LETTERS and not number:
+            words.append(LETTERS[letter])
+        else:
+            raise ValueError(f"unknown option letter {letter + number!r}")
+    return words
 
 
 @dataclass
@@ -22,6 +37,8 @@ class Options:
     def parse(cls, text: str) -> Options:
         """ValueError for a word that is no option."""
         made = cls()
+        if text.startswith(":"):
+            text = ",".join(_brief(text[1:]))
         for word in (w.replace("\\,", ",") for w in re.split(r"(?<!\\),", text) if w):
             name, _, value = word.partition("=")
             if word.startswith("@"):

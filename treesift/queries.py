@@ -9,9 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treesift.operators.formats import emit, humanize
+from treesift.functions import utf8
+from treesift.operators.formats import emit, emit_field, humanize
 from treesift.operators.select import select
-from treesift.sources.encoders import cbor_records, csv_records, fullpath_rows, read_name_map, renamed, replay_events
+from treesift.operators.trees import attribute, container, leaf_list, nested_list, tree_json, tree_xml, versioned, xml_document
+from treesift.sources.command import command
+from treesift.sources.encoders import cbor_records, csv_records, encode, fullpath_rows, read_name_map, renamed, replay_events
+from treesift.sources.syslog import priority, syslog_messages
 from treesift.streaming.filter import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,8 +79,32 @@ def _table(table: str, *columns: str) -> Query:
     return lambda spark, sf: spark.read.parquet(f"{sf}/{table}.parquet").select(*columns)
 
 
-def _emit(style: str, text: str, table: str, *columns: str) -> Query:
-    return lambda spark, sf: emit(_table(table, *columns)(spark, sf), text, style)
+def _emit(style: str, text: str, table: str, *columns: str, **options) -> Query:
+    return lambda spark, sf: emit(_table(table, *columns)(spark, sf), text, style, **options)
+
+
+def _encode(spec: str, keys: tuple[str, ...], table: str, *columns: str) -> Query:
+    return lambda spark, sf: encode(_table(table, *columns)(spark, sf), spec, table, keys)
+
+
+def _regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as trees: a container, an attribute, a leaf-list and the list of their nations."""
+    nations = nested_list(_table("nation", "n_nationkey", "n_name", "n_regionkey")(spark, sf), "nation", ["n_regionkey"], ["n_nationkey", "n_name"], ["n_nationkey"])
+    rows = _table("region", "r_regionkey", "r_name")(spark, sf).join(nations, F.col("r_regionkey") == F.col("n_regionkey"))
+    return rows.select(attribute("id", F.col("r_regionkey")), container("names", F.col("r_name").alias("long"), F.left("r_name", F.lit(2)).alias("short")), leaf_list("word", F.col("r_name"), F.col("r_regionkey")), "nation")
+
+
+def _parts_by_brand(spark: SparkSession, sf: str) -> DataFrame:
+    return nested_list(_table("part", "p_partkey", "p_brand", "p_size")(spark, sf), "part", ["p_brand"], ["p_partkey", "p_size"], ["p_partkey"])
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    df = _table("supplier", "s_suppkey", "s_nationkey")(spark, sf)
+    return syslog_messages(df, "{:s_suppkey/%d} is in nation {:s_nationkey/%d}\n", "supplier", priority("daemon", "notice"), F.to_timestamp(F.lit("2015-06-23 13:47:09.123")), "worker", "program", 222)
+
+
+def _cut(spark: SparkSession, sf: str) -> DataFrame:
+    return _table("documents", "doc_id", "text")(spark, sf).select("doc_id", utf8.valid(F.col("text")).alias("valid"), F.octet_length(utf8.truncated(F.col("text"), 100)).cast("bigint").alias("n_bytes"))
 
 
 def _missing(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,6 +153,24 @@ OTHERS: dict[str, tuple[Query, str | None]] = {
     "rename_map": (lambda s, sf: renamed(_table("region", "r_regionkey", "r_name")(s, sf), read_name_map("# names\nr_name=name\nr_regionkey = key\n")), "SELECT r_regionkey AS key, r_name AS name FROM region"),
     "trim": (lambda s, sf: emit(_table("region", "r_name")(s, sf).select(F.concat(F.lit("  "), "r_name", F.lit(" ")).alias("r_name")), "{t:r_name}", "sdparams"), """SELECT 'r_name="' || r_name || '" ' AS line FROM region"""),
     "humanize": (lambda s, sf: _table("orders", "o_orderkey")(s, sf).select("o_orderkey", humanize(F.col("o_orderkey") * 1000).alias("size")), "SELECT o_orderkey, CASE WHEN o_orderkey * 1000 >= 1073741824 THEN (o_orderkey * 1000 // 1073741824 + CAST(o_orderkey * 1000 % 1073741824 // 1048576 >= 512 AS INT)) || 'G' WHEN o_orderkey * 1000 >= 1048576 THEN (o_orderkey * 1000 // 1048576 + CAST(o_orderkey * 1000 % 1048576 // 1024 >= 512 AS INT)) || 'M' WHEN o_orderkey * 1000 >= 1024 THEN (o_orderkey * 1000 // 1024 + CAST(o_orderkey * 1000 % 1024 >= 512 AS INT)) || 'K' ELSE CAST(o_orderkey * 1000 AS VARCHAR) END AS size FROM orders"),
+    "tree_json": (lambda s, sf: tree_json(_regions(s, sf), "top/region"), """SELECT '{"top":{"region":{"names":{"long":"' || r_name || '","short":"' || r_name[:2] || '"},"word":["' || r_name || '","' || r_regionkey || '"],"nation":[' || string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}', ',' ORDER BY n_nationkey) || ']}}}' AS line FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name"""),
+    "tree_xml": (lambda s, sf: tree_xml(_regions(s, sf), "region", "top", ["n_nationkey"]), """SELECT '<top><region id="' || r_regionkey || '"><names><long>' || r_name || '</long><short>' || r_name[:2] || '</short></names><word>' || r_name || '</word><word>' || r_regionkey || '</word>' || string_agg('<nation><n_nationkey key="key">' || n_nationkey || '</n_nationkey><n_name>' || n_name || '</n_name></nation>', '' ORDER BY n_nationkey) || '</region></top>' AS line FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name"""),
+    "xml_document": (lambda s, sf: xml_document(versioned(_table("nation", "n_name")(s, sf), "1.0"), "nation", "top/data"), """SELECT '<top><data>' AS line UNION ALL SELECT '<nation version="1.0"><n_name>' || n_name || '</n_name></nation>' FROM nation UNION ALL SELECT '</data></top>'"""),
+    "csv_encoder": (_encode("@csv:leafs=s_name.s_suppkey", (), "supplier", "s_suppkey", "s_name"), "SELECT 's_name,s_suppkey' AS line UNION ALL SELECT s_name || ',' || s_suppkey FROM supplier"),
+    "csv_path": (lambda s, sf: encode(_parts_by_brand(s, sf), "csv:path=brand/part:no-header:dos", "brand"), "SELECT p_partkey || ',' || p_size || chr(13) AS line FROM part"),
+    "fullpath_nested": (lambda s, sf: encode(_parts_by_brand(s, sf), "fullpath:slax", "brand", ["p_brand", "p_partkey"]), "SELECT '/brand[p_brand==''' || p_brand || ''']/part[p_partkey==''' || p_partkey || ''']/p_size=''' || p_size || '''' AS line FROM part"),
+    "fdr_encoder": (_encode("fdr", ("r_regionkey",), "region", "r_regionkey", "r_name"), "SELECT '[ region' AS line FROM region UNION ALL SELECT '$ r_regionkey ' || r_regionkey FROM region UNION ALL SELECT '= r_name ' || r_name FROM region UNION ALL SELECT '] region' FROM region"),
+    "syslog_messages": (_log, """SELECT '<29>1 2015-06-23T13:47:09.123+0000 worker program 222 supplier [supplier@32473 s_suppkey="' || s_suppkey || '" s_nationkey="' || s_nationkey || '"] ' || chr(65279) || s_suppkey || ' is in nation ' || s_nationkey AS line FROM supplier"""),
+    "emit_field": (lambda s, sf: emit_field(_table("nation", "n_nationkey")(s, sf), "k", "n_nationkey", "%03d", style="xml"), """SELECT '<n_nationkey key="key">' || n_nationkey || '</n_nationkey>' AS line FROM nation"""),
+    "fmt_plural": (_emit("text", "{:n_regionkey} {Ngp:region,regions}", "nation", "n_regionkey"), "SELECT n_regionkey || CASE WHEN n_regionkey = 1 THEN ' region' ELSE ' regions' END AS line FROM nation"),
+    "fmt_gettext": (_emit("text", "{G:}{:n_nationkey/%d} is {:n_name}", "nation", "n_nationkey", "n_name", catalog={"{:n_nationkey} is {:n_name}": "{:n_name}: {:n_nationkey}"}), "SELECT n_name || ': ' || n_nationkey AS line FROM nation"),
+    "fmt_color": (_emit("text", "{C:bold,fg-red}{:r_name}{C:}", "region", "r_name"), "SELECT chr(27) || '[1;31m' || r_name || chr(27) || '[0m' AS line FROM region"),
+    "fmt_argument": (_emit("sdparams", "{a:/%d}", "region", "r_regionkey", arguments=("r_regionkey",)), """SELECT 'r_regionkey="' || r_regionkey || '" ' AS line FROM region"""),
+    "fmt_units": (_emit("xml", "{:p_size/%d}{U:cm}", "part", "p_size", units=True), """SELECT '<p_size units="cm">' || p_size || '</p_size>' AS line FROM part"""),
+    "fmt_xpath": (_emit("html", "{k:r_regionkey}{:r_name}", "region", "r_regionkey", "r_name", xpath="/top/region", keys=False), """SELECT '<div class="line"><div class="data" data-tag="r_regionkey" data-xpath="/top/region/r_regionkey">' || r_regionkey || '</div><div class="data" data-tag="r_name" data-xpath="/top/region[r_regionkey=''' || r_regionkey || ''']/r_name">' || r_name || '</div></div>' AS line FROM region"""),
+    "fmt_leaf_list": (lambda s, sf: emit(_table("embeddings", "vec_id", "embedding")(s, sf).select(F.col("vec_id"), F.transform("embedding", lambda x: (x > 0).cast("int")).alias("sign")), "{l:sign}", "json"), """SELECT '{"sign": [' || array_to_string(list_transform(embedding, lambda x: CAST(x > 0 AS INT)), ', ') || ']}' AS line FROM embeddings"""),
+    "command": (lambda s, sf: command(s, ["--xml", "--wrap", "top", "The {k:name} weighs {:weight/%d} pounds.\\n", "fish", "6"]), "SELECT '<top><name>fish</name><weight>6</weight></top>' AS line"),
+    "utf8_truncate": (_cut, None),
     "stream_filter": (_stream, "SELECT * FROM nation WHERE n_regionkey > 1"),
 }
 

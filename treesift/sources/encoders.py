@@ -1,13 +1,14 @@
-"""Encoders: CSV records, full-path rows, replay events and CBOR; and name maps."""
+"""Encoders: CSV records, full-path rows, replay events and CBOR, by name or one by one; and name maps."""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treesift.shipping import ship
 
@@ -96,3 +97,135 @@ def read_name_map(text: str) -> dict[str, str]:
 
 def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
+
+
+def rows_at(df: DataFrame, path: str, table: str) -> DataFrame:
+    """The instances of nested lists or containers that a relative path ends at, as rows; the table's own rows if the path names it."""
+    steps = [p for p in path.split("/") if p]
+    if not steps or steps[-1] == table:
+        return df
+
+    def routes(dtype: T.StructType, above: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
+        for f in dtype.fields:
+            inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
+            if isinstance(inner, T.StructType):
+                yield (*above, f.name)
+                yield from routes(inner, (*above, f.name))
+
+    found = [r for r in routes(df.schema, ()) if (table, *r)[-len(steps) :] == tuple(steps)]
+    if not found:
+        raise ValueError(f"no nested rows at {path!r}")
+    for name in found[0]:
+        dtype = df.schema[name].dataType
+        df = df.select(F.explode(f"`{name}`").alias("x") if isinstance(dtype, T.ArrayType) else F.col(f"`{name}`").alias("x")).where("x is not null").select("x.*")
+    return df
+
+
+def leading_leaves(df: DataFrame) -> list[str]:
+    """Columns before the first nested one: a nested node ends a record. Attributes are no leaves."""
+    names = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            break
+        if not f.name.startswith("_"):
+            names.append(f.name)
+    return names
+
+
+def csv_encoded(df: DataFrame, table: str, keys: Sequence[str], options: Sequence[str]) -> DataFrame:
+    """(line): a header, then a record for each row.
+
+    Options: `path=a/b`, `leafs=x.y` (also `leaf=`, `leaves=`), `no-header`, `dos`, `no-quotes`, `debug`, `no-keys` and
+    `value-only`, of which the last three change nothing; ValueError for another. The header is a partition of its own,
+    before all others, so a written table has it once.
+    """
+    words = dict(o.partition("=")[::2] for o in options)
+    if unknown := set(words) - {"path", "leaf", "leafs", "leaves", "no-header", "dos", "no-quotes", "debug", "no-keys", "value-only"}:
+        raise ValueError(f"unknown options of csv: {sorted(unknown)}")
+    rows = rows_at(df, words.get("path", ""), table)
+    asked = next((words[w] for w in ("leafs", "leaf", "leaves") if w in words), "")
+    names = [n for n in asked.split(".") if n] or leading_leaves(rows)
+    missing = [n for n in names if n not in rows.columns]
+    rows = rows.select("*", *[F.lit(None).cast("string").alias(n) for n in missing])
+    end = "\r" if "dos" in words else ""
+    lines = csv_records(rows, names, "no-quotes" not in words, "dos" in words).withColumnRenamed("record", "line")
+    if "no-header" in words:
+        return lines
+    head = df.sparkSession.range(1, numPartitions=1).select(F.lit(csv_header(rows, names) + end).alias("line"))
+    return head.unionByName(lines)
+
+
+def fullpath_encoded(df: DataFrame, table: str, keys: Sequence[str], options: Sequence[str]) -> DataFrame:
+    """(line): a full-path line for each leaf of each row, nested ones included; option `slax` tests keys with `==`, `flush` changes nothing."""
+    if unknown := set(options) - {"slax", "flush"}:
+        raise ValueError(f"unknown options of fullpath: {sorted(unknown)}")
+    test = "==" if "slax" in options else "="
+
+    def value(c: Column) -> Column:
+        return F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+    def leaves(lead: Column, dtype: T.StructType, get: Callable[[str], Column]) -> Column:
+        """An array of the lines below a node."""
+        for k in keys:
+            if k in dtype.names and not isinstance(dtype[k].dataType, (T.StructType, T.ArrayType)):
+                lead = F.concat(lead, F.coalesce(F.concat(F.lit(f"[{k}{test}"), value(get(k)), F.lit("]")), F.lit("")))
+        parts = [F.array().cast("array<string>")]
+        for f in dtype.fields:
+            if f.name.startswith("_") or f.name in keys:
+                continue
+            c, here = get(f.name), F.concat(lead, F.lit(f"/{f.name}"))
+            if isinstance(f.dataType, T.StructType):
+                parts.append(F.when(c.isNotNull(), leaves(here, f.dataType, c.getField)))
+            elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+                inner = f.dataType.elementType
+                parts.append(F.flatten(F.transform(F.array_compact(c), below(here, inner))))
+            elif isinstance(f.dataType, T.ArrayType):
+                parts.append(F.transform(c, bare(here)))
+            else:
+                parts.append(F.array(F.concat(here, F.lit("="), value(c))))
+        return F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])
+
+    def below(lead: Column, dtype: T.StructType) -> Callable[[Column], Column]:
+        return lambda x: leaves(lead, dtype, x.getField)
+
+    def bare(lead: Column) -> Callable[[Column], Column]:
+        return lambda x: F.concat(lead, F.lit("="), value(x))
+
+    lines = leaves(F.lit(f"/{table}"), df.schema, lambda n: F.col(f"`{n}`"))
+    return df.select(F.explode(F.array_compact(lines)).alias("line"))
+
+
+def _events_encoded(df: DataFrame, table: str, keys: Sequence[str], options: Sequence[str]) -> DataFrame:
+    return replay_events(df, table, keys).select(F.col("event").alias("line"))
+
+
+def _cbor_encoded(df: DataFrame, table: str, keys: Sequence[str], options: Sequence[str]) -> DataFrame:
+    return cbor_records(df)
+
+
+Encoder = Callable[[DataFrame, str, Sequence[str], Sequence[str]], DataFrame]
+#: Encoders by name; each takes (rows, table name, key columns, option words) and gives one column.
+ENCODERS: dict[str, Encoder] = {"csv": csv_encoded, "fullpath": fullpath_encoded, "fdr": _events_encoded, "cbor": _cbor_encoded}
+
+
+def register(name: str, encoder: Encoder) -> None:
+    """Adds an encoder, or puts it in another's place."""
+    ENCODERS[name] = encoder
+
+
+def encode(df: DataFrame, spec: str, table: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The rows by the encoder that spec names, with its options, as in `csv:path=item:no-header`; `+` separates as well."""
+    name, *options = spec.removeprefix("@").replace("+", ":").split(":")
+    if name not in ENCODERS:
+        raise ValueError(f"no such encoder: {name!r}")
+    return ENCODERS[name](df, table, keys, [o for o in options if o])
+
+
+def write(df: DataFrame, spec: str, table: str, path: str, keys: Sequence[str] = (), mode: str = "error") -> None:
+    """The encoded rows at path through Spark's own committer: lines as text files, binary records as Parquet."""
+    done = encode(df, spec, table, keys)
+    writer = done.write.mode(mode)
+    if isinstance(done.schema[0].dataType, T.BinaryType):
+        writer.parquet(path)
+    else:
+        writer.text(path)
