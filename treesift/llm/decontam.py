@@ -10,7 +10,8 @@ promise that (README). A size class of documents is probed only by items whose n
 verified by exact containment of the shingle strings.
 
 Documents' hashes are probed as they are generated, against the sketch as a broadcast table while it has at most
-BROADCAST_ROWS rows, beyond that in a shuffled join. Items with fewer than five words are one shingle of all their
+BROADCAST_ROWS rows, beyond that in a shuffled join. The items' shingles go to the candidates' documents in the same way,
+while the items' texts have at most BROADCAST_BYTES, so an item that many documents hold gathers them in no task. Items with fewer than five words are one shingle of all their
 words, sought among the document windows of that length. Null or wordless texts hold nothing and are held by nothing.
 Repeated items and documents each count; rows that share an id are merged into one result row, with the most shingles shared.
 Rows without an id
@@ -27,6 +28,8 @@ from treesift.llm.common import checkpointed
 WIDTH, THRESHOLD = 5, 0.8
 #: At 24 bytes a row this is a table of 12 MB.
 BROADCAST_ROWS = 500_000
+#: Items' texts of so many bytes make shingle strings of at most WIDTH times as many.
+BROADCAST_BYTES = 8 << 20
 
 
 def words_of(c: Column) -> Column:
@@ -84,6 +87,8 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     for k in range(1, WIDTH + 1):
         strings = F.when(F.col("width") == k, _strings("iw", k)).otherwise(strings)
     item_sets = texts.select(F.col("item").alias("t_item"), "width", strings.alias("shingles"))
+    item_bytes = item_rows.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    item_sets = F.broadcast(item_sets) if item_bytes <= BROADCAST_BYTES else item_sets
     held = doc_rows.join(candidates.select(F.col("doc").alias("c_doc")).distinct(), F.col("doc") == F.col("c_doc"), "left_semi")
     pairs = held.join(candidates.withColumnRenamed("doc", "c_doc"), F.col("doc") == F.col("c_doc")).select("doc", "item", words_of(F.col("text")).alias("w"))
     both = pairs.join(item_sets, F.col("item") == F.col("t_item"))
