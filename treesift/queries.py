@@ -16,7 +16,8 @@ from treesift.operators.trees import attribute, container, leaf_list, nested_lis
 from treesift.sources.command import command
 from treesift.sources.encoders import cbor_records, csv_records, encode, fullpath_rows, read_name_map, renamed, replay_events
 from treesift.sources.syslog import priority, syslog_messages
-from treesift.streaming.filter import run_available
+from treesift.streaming.filter import filter_stream, run_available
+from treesift.streaming.sink import write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,11 +126,23 @@ def _leaf_self(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("vec_id", F.size("embedding").cast("bigint").alias("n"))
 
 
+def _stream_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/treesift-stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/") + f"/treesift-stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    folder = _stream_folder(spark)
     return run_available(spark, sf, "nation", "nation[n_regionkey > 1]", f"{folder}/out", f"{folder}/state")
 
 
+def _stream_encoder(spark: SparkSession, sf: str) -> DataFrame:
+    folder, schema = _stream_folder(spark), spark.read.parquet(f"{sf}/nation.parquet").schema
+    stream = filter_stream(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/nation.parque[t]"), "nation[n_regionkey > 1]", "nation")
+    write_stream(stream, "csv:no-header:leafs=n_nationkey.n_name", "nation", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema("value string").text(f"{folder}/out").withColumnRenamed("value", "line")
+
+
 CSV = ("part", "p_partkey", "p_name", "p_brand")
 OTHERS: dict[str, tuple[Query, str | None]] = {
     "pos_nth": (_filter("nation", "nation[3]", order_by=["n_nationkey"]), "SELECT * FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 2"),
@@ -171,6 +184,7 @@ OTHERS: dict[str, tuple[Query, str | None]] = {
     "fmt_leaf_list": (lambda s, sf: emit(_table("embeddings", "vec_id", "embedding")(s, sf).select(F.col("vec_id"), F.transform("embedding", lambda x: (x > 0).cast("int")).alias("sign")), "{l:sign}", "json"), """SELECT '{"sign": [' || array_to_string(list_transform(embedding, lambda x: CAST(x > 0 AS INT)), ', ') || ']}' AS line FROM embeddings"""),
     "command": (lambda s, sf: command(s, ["--xml", "--wrap", "top", "The {k:name} weighs {:weight/%d} pounds.\\n", "fish", "6"]), "SELECT '<top><name>fish</name><weight>6</weight></top>' AS line"),
     "utf8_truncate": (_cut, None),
+    "stream_encoder": (_stream_encoder, "SELECT n_nationkey || ',' || n_name AS line FROM nation WHERE n_regionkey > 1"),
     "stream_filter": (_stream, "SELECT * FROM nation WHERE n_regionkey > 1"),
 }
 
