@@ -60,6 +60,14 @@ def test_costs(spark):
     assert select(df, "cost[. > 450]", "item", keys=["id"]).collect() == [(1, ["455"])]
 
 
+def test_nested_before_the_deciding_field(spark):
+    df = spark.createDataFrame([("tcp", ("a",), "8080", ("b",)), ("udp", ("c",), "53", ("d",))], "protocol string, local struct<address:string>, port string, remote struct<address:string>")
+    text = "socket[protocol = 'tcp' and port = '8080']"
+    assert select(df, text, "socket").collect() == [("tcp", ("a",), "8080", ("b",))]
+    assert select(df, text, "socket", compat=True).collect() == [("tcp", "8080", ("b",))]
+    assert select(df, "socket[protocol = 'tcp']", "socket", compat=True).columns == df.columns
+
+
 @pytest.mark.parametrize("text", ["foo//goo", "item[a[b] = 1]", "item[a/b = 1]", "item[..//node()]", "item[a =", "item[", "item]", "item[a | b]", "item[$x = 1]", "child::item", "item[text() = 1]", "", "item[a = 'x]"])
 def test_rejected(spark, text):
     df = spark.createDataFrame([("1",)], "a string")

@@ -132,6 +132,18 @@ class Selector:
         self.table, self.keys, self.order_by, self.within, self.compat = table, set(keys), list(order_by), list(within), compat
 
     def apply(self, df: DataFrame) -> DataFrame:
+        return self._chosen(df.drop(*self._closed_early(df)) if self.compat else df)
+
+    def _closed_early(self, df: DataFrame) -> list[str]:
+        """With compat: nested columns before the last field that decides a row; they are closed while it is pending, and lost."""
+        if len(self.paths) > 1 or self.paths[0].negated or len(self.paths[0].steps) > 1 or self.paths[0].steps[0].name not in (self.table, "*"):
+            return []
+        asked = {n for p in self.paths[0].steps[0].predicates if not is_position(p) for n in _names(p, Field)}
+        last = max((k for k, c in enumerate(df.columns) if c in asked), default=-1)
+        nested = (T.StructType, T.ArrayType)
+        return [f.name for f in df.schema.fields[: max(0, last)] if isinstance(f.dataType, nested) and (isinstance(f.dataType, T.StructType) or _instances(f.dataType) is not None)]
+
+    def _chosen(self, df: DataFrame) -> DataFrame:
         positional = [p for p in self.paths if any(map(is_position, (q for s in p.steps for q in s.predicates)))]
         if positional:
             if len(self.paths) > 1:
