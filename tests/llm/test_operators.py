@@ -132,6 +132,20 @@ def test_token_files(spark, docs):
     assert token_binary.token_files(empty(docs), queries.model_path(queries.WORD_MODEL)).count() == 0
 
 
+def test_shortcut_takes_every_character_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = queries.model_path(queries.WORD_MODEL)
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        encoder = token_binary.WordEncoder(f.read())
+    assert encoder.fast
+    words = [form.format(chr(c)) for c in range(0x21, 0x300) if not chr(c).isspace() for form in ("a{}b", "{}li", "A{}")] + ["Əli", "Ɓangare"]
+    starts, n, flat = encoder.words(pa.array(words))
+    got = {w: flat[a : a + k].tolist() for w, a, k in zip(words, starts, n, strict=True)}
+    assert got == {w: library.encode(w, add_special_tokens=False).ids for w in words}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60000), st.integers(0, 2**64 - 1)), max_size=900), st.sampled_from([16, 256]))
 def test_simple8b(values, block):

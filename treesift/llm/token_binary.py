@@ -184,11 +184,12 @@ class WordEncoder:
     """Encodes words that white space separates with a model of the tokenizers library.
 
     The model drops white space, so a text's ids are those of its words. Words of plain letters, digits and marks up to
-    U+024F are cut into pre-tokens as the model's pattern does, and the library's model encodes each distinct pre-token
-    once; any other word goes through the whole library.
+    U+024F, in lower case too, are cut into pre-tokens as the model's pattern does, and the library's model encodes each
+    distinct pre-token once; any other word goes through the whole library.
     """
 
-    _plain = "^[!-~À-ÖØ-öø-įı-ɏ]+$"
+    #: Without capitals whose lower forms are above U+024F, such as U+018F: _cut would take those for symbols.
+    _plain = "^[!-~" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c not in "×÷" and max(c.lower()) <= "ɏ") + "]+$"
     #: The model's pattern, as far as such words need it.
     _cut = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9]+)"
 
