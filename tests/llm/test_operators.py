@@ -274,6 +274,48 @@ def test_simhash(spark, docs):
     assert stay.columns == docs.columns
 
 
+def brute_near_components(texts):
+    """For each text, the places of all that it reaches at Jaccard 0.8 of 5-word shingles."""
+    sets = []
+    for t in texts:
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if group[i] != group[j] and 10 * len(a & b) >= 8 * len(a | b):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def edited_copies(spark):
+    """Documents and copies of some, with 1 to 8 words changed in each; a large group has one base."""
+    rng = np.random.default_rng(3)
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    base = [t for _, t in rows if 150 <= len(t.split()) <= 300]
+    for k in range(120):
+        words = base[0 if k < 60 else k % len(base)].split()
+        for at in rng.choice(len(words), rng.integers(1, 9), replace=False):
+            words[at] = f"changed{k}"
+        rows.append((10_000 + k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("led", "frequent"), [(16, 5), (1, 2), (0, 10**9)])
+def test_one_of_each_links_at_similarity(spark, docs, monkeypatch, led, frequent):
+    monkeypatch.setattr(simhash.near_copies, "LED", led)
+    monkeypatch.setattr(simhash.near_copies, "FREQUENT", frequent)
+    rows = edited_copies(spark) + [(k + 20_000, t) for k, t in enumerate(TEXTS)]
+    group = brute_near_components([t for _, t in rows])
+    least = {}
+    for (k, _), g in zip(rows, group, strict=True):
+        least[g] = min(k, least.get(g, k))
+    stay = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(r.doc_id for r in stay.collect()) == sorted(least.values())
+    assert simhash.one_of_each(empty(docs)).count() == 0
+
+
 @pytest.mark.parametrize("bucket", [1, 128])
 def test_links_with_and_without_balls(spark, bucket):
     rng = np.random.default_rng(5)

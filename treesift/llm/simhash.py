@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treesift.llm import near_copies
 from treesift.llm.common import checkpointed, chunks, id_field, ship
 from treesift.llm.components import components
 
@@ -232,8 +233,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(by_fp, F.col("fp") == F.col("k")).select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of df whose id names their component, all columns as they are; rows without an id stay."""
-    found = near_duplicates(df.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, radius)
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = near_copies.THRESHOLD) -> DataFrame:
+    """The rows of df whose id names their component, all columns as they are; rows without an id stay. Links are those of near_copies, not of fingerprints."""
+    found = near_copies.near_copies(df.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, threshold)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
     return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
