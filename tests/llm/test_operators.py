@@ -316,6 +316,14 @@ def test_one_of_each_links_at_similarity(spark, docs, monkeypatch, led, frequent
     assert simhash.one_of_each(empty(docs)).count() == 0
 
 
+def test_one_of_each_goes_by_row(spark):
+    near = [" ".join(f"word{k}" for k in range(100)), " ".join(f"word{k}" for k in range(101))]
+    rows = [(1, near[0], 0), (5, near[1], 1), (5, "a text of its own that no other row has", 2), (5, near[1], 3), (7, "said twice under one id", 4), (7, "said twice under one id", 5), (8, "Said twice under one id", 6), (8, "said  twice under one id", 7), (None, near[0], 8), (None, near[0], 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    stay = sorted(r.n for r in simhash.one_of_each(df).collect())
+    assert stay in ([0, 2, 4, 8, 9], [0, 2, 5, 8, 9])
+
+
 @pytest.mark.parametrize("bucket", [1, 128])
 def test_links_with_and_without_balls(spark, bucket):
     rng = np.random.default_rng(5)

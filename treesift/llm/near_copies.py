@@ -169,14 +169,14 @@ def linked(sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, component_id) of every row; the component's name is its smallest id."""
+    """(doc, txt, component_id, component_txt) of every row: its id, the hash of its text, and those of the component's first row, by id and hash."""
     ship(df.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     texts = df.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("txt"), text.alias("text"))
     rows = checkpointed(sketches(texts, frequent_hashes(texts), threshold))
     sets = checkpointed(rows.groupBy("sid").agg(F.min(F.struct("doc", "txt")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
     named = linked(sets, texts, threshold)
-    grouped = sets.join(named, F.col("sid") == F.col("node"), "left").select("sid", F.col("rep.doc").alias("rep"), F.coalesce("component", "sid").alias("of"))
-    least = grouped.groupBy("of").agg(F.min("rep").alias("component_id")).withColumnRenamed("of", "l_of")
-    by_set = grouped.join(least, F.col("of") == F.col("l_of")).select(F.col("sid").alias("k"), "component_id")
-    return rows.join(by_set, F.col("sid") == F.col("k")).select(F.col("doc").alias(id_col), "component_id")
+    grouped = sets.join(named, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "sid").alias("of"))
+    least = grouped.groupBy("of").agg(F.min("rep").alias("least")).withColumnRenamed("of", "l_of")
+    by_set = grouped.join(least, F.col("of") == F.col("l_of")).select(F.col("sid").alias("k"), "least")
+    return rows.join(by_set, F.col("sid") == F.col("k")).select("doc", "txt", F.col("least.doc").alias("component_id"), F.col("least.txt").alias("component_txt"))

@@ -234,7 +234,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = near_copies.THRESHOLD) -> DataFrame:
-    """The rows of df whose id names their component, all columns as they are; rows without an id stay. Links are those of near_copies, not of fingerprints."""
-    found = near_copies.near_copies(df.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, threshold)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """One row of each component, all columns as they are: that with the smallest id, of several such that whose text has the smallest hash, of rows equal in both any one.
+
+    Rows without an id stay. Links are those of near_copies, not of fingerprints.
+    """
+    found = checkpointed(near_copies.near_copies(df.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, threshold))
+    first = (F.col("doc") == F.col("component_id")) & (F.col("txt") == F.col("component_txt"))
+    marked = df.withColumn("__txt", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    gone = found.where(~first).select("doc", "txt").distinct()
+    stay = marked.join(gone, (F.col(f"`{id_col}`") == F.col("doc")) & (F.col("__txt") == F.col("txt")), "left_anti")
+    again = checkpointed(found.where(first).groupBy("doc", "txt").count().where("count > 1").select(F.col("doc").alias("__doc"), F.col("txt").alias("__of")))
+    if not again.isEmpty():
+        repeated = (F.col(f"`{id_col}`") == F.col("__doc")) & (F.col("__txt") == F.col("__of"))
+        stay = stay.join(again, repeated, "left_anti").unionByName(stay.join(again, repeated, "left_semi").dropDuplicates([id_col, "__txt"]))
+    return stay.drop("__txt")
