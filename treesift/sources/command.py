@@ -47,10 +47,12 @@ def command(spark: SparkSession, arguments: Sequence[str]) -> DataFrame:
     """(line): what the command prints, as one row.
 
     --wrap puts the output inside containers, --instance inside one element; --open and --close give only the tags of
-    a path, which have a form in XML and JSON.
+    a path, which have a form in XML and JSON. ValueError for filters and options of encoders, which it can't apply.
     """
     a = _parser().parse_args(list(arguments))
     options = Options.parse(a.options)
+    if options.filters or options.encoder_options:
+        raise ValueError("a command applies no filters and no options of encoders")
     style = a.style or options.style
     text = unescaped(a.format)
     row, schema, arguments_for = [], [], []
