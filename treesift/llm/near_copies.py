@@ -1,23 +1,26 @@
 """Near copies by exact Jaccard similarity of word shingles: two texts are linked if it is `threshold` or more.
 
-A text's words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; its set is the XXH64 of its 5-word shingles (fewer words: all
-of them), empty for a text without words. Equal sets are one node, so copies take part in the search once.
+A text's words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; its set is the upper 62 bits of the XXH64 of its 5-word shingles
+(fewer words: all of them), empty for a text without words. Equal sets are one node, so copies take part in the search once.
 
-Search: in any one order of all hashes, two sets of similarity t share one of the first n - ceil(t n) + 1 hashes of
-each (its prefix), n being the set's own size. So every linked pair meets under a key, and none is missed. The order
-is that of the hashes, but those frequent in a sample come last: a passage that many texts hold is then in the prefix of
-few. A pair that meets is tested by its sizes and by parity bitmaps, of which no more bits differ than the sets have
-differing hashes, so neither test loses a pair; what passes is verified on the whole sets.
+Candidates that the caller proposes (those of fingerprints, see simhash) come first. What these miss is found by prefixes:
+in any one order of all hashes, two sets of similarity t share one of the first n - ceil(t n) + 1 hashes of each, n being
+the set's own size. So every linked pair meets under a key, and none is missed. The order is that of the hashes, but those
+frequent in a sample come last: a passage that many texts hold is then in the prefix of few.
 
-Components need not have all links. First each set is compared with a leader of each of a few of its keys, drawn anew for each key,
-which is linear in the keys and joins most of a large group. Then all pairs that meet and aren't yet in one
+A pair is tested by bounds that no similar pair fails: the sizes, parity bitmaps (of which no more bits differ than hashes
+do), then the prefixes themselves. Up to the smaller of their last hashes both sets are known whole, so the hashes there
+that one set lacks bound the difference from below; a prefix is an even sample of its set, so nearly all other pairs fail
+here. What passes is verified on the whole sets.
+
+Components need not have all links. Each set is first compared with a leader of each of a few of its keys, drawn anew for
+each key, which is linear in the keys and joins most of a large group. Then all pairs that meet and aren't yet in one
 component are compared; of a key's sets, those of its most common component aren't compared with each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from treesift.llm.common import checkpointed, chunks, id_field, ship
 from treesift.llm.components import components
+from treesift.llm.shingles import fingerprint, shingle_hashes
 
 WIDTH, THRESHOLD, SEED = 5, 0.8, 42
 #: 64-bit words of a parity bitmap.
@@ -36,17 +40,13 @@ SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 5_000, 5, 100_000
 LED = 16
 #: Rows and bytes up to which a table is sent to all executors.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
+#: Added to a frequent hash, which puts it behind all others.
+_LAST = 1 << 62
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The hashes of a text's shingles, ascending, each once."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: both are ASCII-only
-    if not words:
-        return np.zeros(0, np.uint64)
-    shingles = [b" ".join(words)] if len(words) < WIDTH else list(map(b" ".join, zip(*(words[k:] for k in range(WIDTH)), strict=False)))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(h >> np.uint64(2)) for h in shingle_hashes(text, WIDTH, SEED))]))
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -56,11 +56,11 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def prefix(hashes: np.ndarray, frequent: np.ndarray, threshold: float) -> np.ndarray:
-    """The hashes one of which each similar set has in its own prefix too; `frequent` is sorted."""
-    if len(frequent) and len(hashes):
-        last = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
-        hashes = np.concatenate([hashes[~last], hashes[last]])
+    """The hashes one of which each similar set has in its own prefix too, ascending; `frequent` is sorted, and its hashes are raised by _LAST."""
     n = len(hashes)
+    if len(frequent) and n:
+        last = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+        hashes = np.concatenate([hashes[~last], hashes[last] + np.uint64(_LAST)])
     return hashes[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
 
 
@@ -89,23 +89,26 @@ def whole_sets(texts: DataFrame) -> DataFrame:
 
 
 def sketches(texts: DataFrame, frequent: np.ndarray, threshold: float) -> DataFrame:
-    """(doc, txt, sid, n, bits, keys) of every row of texts(doc, txt, text)."""
-    sent = texts.sparkSession.sparkContext.broadcast(frequent)
+    """(doc, txt, sid, fp, n, bits, keys) of every row of texts(doc, txt, text); fp is the set's fingerprint."""
+    sent = texts.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from treesift.llm.near_copies import _lists, bitmap, prefix, set_id, shingle_set
+        from treesift.llm.shingles import fingerprint
 
         for b in chunks(batches, "text"):
-            ids, sizes, bits, keys = [], [], [], []
+            ids, fps, sizes, bits, keys = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 own = shingle_set(t)
                 ids.append(set_id(own))
+                fps.append(fingerprint([own << np.uint64(2)]))
                 sizes.append(len(own))
                 bits.append(bitmap(own).view(np.uint64))
                 keys.append(prefix(own, sent.value, threshold))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(bits), _lists(keys)], names=["doc", "txt", "sid", "n", "bits", "keys"])
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, fps)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *signed, pa.array(sizes, pa.int32()), _lists(bits), _lists(keys)], names=["doc", "txt", "sid", "fp", "n", "bits", "keys"])
 
-    return texts.mapInArrow(run, f"doc {id_field(texts, 'doc')}, txt bigint, sid bigint, n int, bits array<bigint>, keys array<bigint>")
+    return texts.mapInArrow(run, f"doc {id_field(texts, 'doc')}, txt bigint, sid bigint, fp bigint, n int, bits array<bigint>, keys array<bigint>")
 
 
 def frequent_hashes(texts: DataFrame) -> np.ndarray:
@@ -117,44 +120,77 @@ def frequent_hashes(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.h for r in found], np.int64).view(np.uint64))
 
 
+def _differ_little(differ: Column, threshold: float) -> Column:
+    """Whether sets of n_a and n_b hashes can be similar if at least `differ` hashes are in one of them only."""
+    return differ * (1 + threshold) <= (F.col("n_a") + F.col("n_b")) * (1 - threshold) + 1e-9
+
+
 def may_match(threshold: float) -> Column:
     """Whether sets with sizes n_a, n_b and bitmaps bits_a, bits_b can be similar enough."""
     differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(LANES)), F.lit(0))
     sizes = (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
-    return sizes & (differ * (1 + threshold) <= (F.col("n_a") + F.col("n_b")) * (1 - threshold) + 1e-9)
+    return sizes & _differ_little(differ, threshold)
+
+
+def prefixes_may_match(threshold: float) -> Column:
+    """Whether sets with sizes n_a, n_b and prefixes keys_a, keys_b can be similar enough; sets without hashes are only similar to each other."""
+    held = "size(filter({0}, k -> k <= least(element_at(keys_a, -1), element_at(keys_b, -1))))"
+    differ = F.expr(f"{held.format('keys_a')} + {held.format('keys_b')} - 2 * size(array_intersect(keys_a, keys_b))")
+    return F.when((F.size("keys_a") > 0) & (F.size("keys_b") > 0), _differ_little(differ, threshold)).otherwise(F.col("n_a") == F.col("n_b"))
 
 
 def _side(df: DataFrame, s: str, names: tuple[str, ...]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}_{s}") for c in names])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) of similar sets."""
+def _both(pairs: DataFrame, held: DataFrame, names: tuple[str, ...], small: bool) -> DataFrame:
+    """pairs(u, v) with the columns `names` of held(sid, ...) for each side."""
+    held = F.broadcast(held) if small else held
+    return pairs.join(_side(held, "a", ("sid", *names)), F.col("u") == F.col("sid_a")).join(_side(held, "b", ("sid", *names)), F.col("v") == F.col("sid_b"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("e_sid")).unionByName(pairs.select(F.col("v").alias("e_sid"))).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) of similar sets. Prefixes and texts are read of the sets' first rows only."""
+
+    def first_rows(pairs: DataFrame) -> tuple[DataFrame, int, int]:
+        reps = checkpointed(sets.join(_ends(pairs), F.col("sid") == F.col("e_sid"), "left_semi").select(F.col("rep.doc").alias("r_doc"), F.col("rep.txt").alias("r_txt"), "n"))
+        n, hashes = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        return F.broadcast(reps) if n <= BROADCAST_ROWS else reps, n, hashes
+
+    is_first = (F.col("doc") == F.col("r_doc")) & (F.col("txt") == F.col("r_txt"))
     pairs = checkpointed(pairs)
-    needed = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
-    reps = checkpointed(sets.join(needed, "sid", "left_semi").select(F.col("rep.doc").alias("r_doc"), F.col("rep.txt").alias("r_txt"), "n"))
-    n, hashes = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    held = reps.select("r_doc", "r_txt")
-    found = texts.join(F.broadcast(held) if n <= BROADCAST_ROWS else held, (F.col("doc") == F.col("r_doc")) & (F.col("txt") == F.col("r_txt")), "left_semi")
-    whole = checkpointed(whole_sets(found).dropDuplicates(["sid"]))
-    whole = F.broadcast(whole) if 8 * hashes <= BROADCAST_BYTES else whole
-    both = pairs.join(_side(whole, "a", ("sid", "hashes")), F.col("u") == F.col("sid_a")).join(_side(whole, "b", ("sid", "hashes")), F.col("v") == F.col("sid_b"))
+    if pairs.isEmpty():
+        return pairs
+    reps, n, hashes = first_rows(pairs)
+    held = checkpointed(rows.join(reps, is_first, "left_semi").select("sid", "n", "keys").dropDuplicates(["sid"]))
+    small = 8 * (1 - threshold) * hashes + 64 * n <= BROADCAST_BYTES
+    pairs = checkpointed(_both(pairs, held, ("n", "keys"), small).where(prefixes_may_match(threshold)).select("u", "v"))
+    if pairs.isEmpty():
+        return pairs
+    reps, n, hashes = first_rows(pairs)
+    whole = checkpointed(whole_sets(texts.join(reps, is_first, "left_semi")).dropDuplicates(["sid"]))
+    both = _both(pairs, whole, ("hashes",), 8 * hashes <= BROADCAST_BYTES)
     shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
     return checkpointed(both.where(shared >= (F.size("hashes_a") + F.size("hashes_b") - shared) * threshold - 1e-9).select("u", "v"))
 
 
-def linked(sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def linked(sets: DataFrame, rows: DataFrame, texts: DataFrame, proposed: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the sets of more than one to a component, without the components' smallest nodes."""
-    keyed = sets.select("sid", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").count().where("count > 1").select(F.col("key").alias("s_key"))
-    met = checkpointed(keyed.join(shared, F.col("key") == F.col("s_key")).select("key", "sid"))
+    keyed = rows.select("sid", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select(F.col("key").alias("s_key"))
+    met = checkpointed(keyed.join(shared, F.col("key") == F.col("s_key")).select("key", "sid").distinct())
 
     few = met.withColumn("place", F.row_number().over(Window.partitionBy("sid").orderBy("key"))).where(f"place <= {LED}").select("key", "sid")
     leads = few.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "sid"), "sid")).alias("m")).select(F.col("key").alias("l_key"), F.col("m.sid").alias("lead"))
-    led = few.join(leads, F.col("key") == F.col("l_key")).where("sid != lead").select(F.least("sid", "lead").alias("u"), F.greatest("sid", "lead").alias("v")).distinct()
+    led = few.join(leads, F.col("key") == F.col("l_key")).where("sid != lead").select(F.least("sid", "lead").alias("u"), F.greatest("sid", "lead").alias("v"))
+    tried = led.unionByName(proposed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
     known = ("sid", "n", "bits")
-    near = led.join(_side(sets, "a", known), F.col("u") == F.col("sid_a")).join(_side(sets, "b", known), (F.col("v") == F.col("sid_b")) & may_match(threshold)).select("u", "v")
-    edges = verified(near, sets, texts, threshold)
+    near = tried.join(_side(sets, "a", known), F.col("u") == F.col("sid_a")).join(_side(sets, "b", known), (F.col("v") == F.col("sid_b")) & may_match(threshold)).select("u", "v")
+    edges = verified(near, sets, rows, texts, threshold)
 
     first = components(edges)
     named = met.join(first, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("component", "sid").alias("of"))
@@ -164,18 +200,21 @@ def linked(sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     a, b = _side(mixed.where("of != major"), "a", ("key", "of", *known)), _side(mixed, "b", ("key", "of", *known))
     # the tests are part of the join: what fails them is never a row
     across = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("of_a") != F.col("of_b")) & may_match(threshold))
-    more = verified(across.select(F.least("sid_a", "sid_b").alias("u"), F.greatest("sid_a", "sid_b").alias("v")).distinct(), sets, texts, threshold)
+    more = verified(across.select(F.least("sid_a", "sid_b").alias("u"), F.greatest("sid_a", "sid_b").alias("v")).distinct(), sets, rows, texts, threshold)
     return first if more.isEmpty() else components(edges.unionByName(more))
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc, txt, component_id, component_txt) of every row: its id, the hash of its text, and those of the component's first row, by id and hash."""
+def near_copies(df: DataFrame, propose: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc, txt, component_id, component_txt) of every row: its id, the hash of its text, and those of the component's first row, by id and hash.
+
+    `propose` gets the distinct sets (sid, fp, ...) and returns pairs (u, v) of them to verify first.
+    """
     ship(df.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     texts = df.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("txt"), text.alias("text"))
     rows = checkpointed(sketches(texts, frequent_hashes(texts), threshold))
-    sets = checkpointed(rows.groupBy("sid").agg(F.min(F.struct("doc", "txt")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
-    named = linked(sets, texts, threshold)
+    sets = checkpointed(rows.groupBy("sid").agg(F.min(F.struct("doc", "txt")).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    named = linked(sets, rows, texts, propose(sets), threshold)
     grouped = sets.join(named, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "sid").alias("of"))
     least = grouped.groupBy("of").agg(F.min("rep").alias("least")).withColumnRenamed("of", "l_of")
     by_set = grouped.join(least, F.col("of") == F.col("l_of")).select(F.col("sid").alias("k"), "least")

@@ -23,14 +23,14 @@ the same name. Null ids are kept, and never name a component unless all its ids
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations, repeat
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treesift.llm import near_copies
+from treesift.llm import near_copies, shingles
 from treesift.llm.common import checkpointed, chunks, id_field, ship
 from treesift.llm.components import components
 
@@ -42,16 +42,8 @@ PROBE_COST = 1.0
 
 
 def fingerprint(text: str | None) -> int:
-    """The fingerprint of one text."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: both are ASCII-only
-    if not words:
-        return 0
-    shingles = [b" ".join(words)] if len(words) < WIDTH else list(map(b" ".join, zip(*(words[k:] for k in range(WIDTH)), strict=False)))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", len(shingles))
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")[0])
+    """The fingerprint of one text, in bounded steps."""
+    return shingles.fingerprint(shingles.shingle_hashes(text, WIDTH, SEED))
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -233,16 +225,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(by_fp, F.col("fp") == F.col("k")).select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def proposed(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (u, v) of sets(sid, fp) that connect all whose fingerprints are equal or linked within `radius` bits."""
+    distinct = checkpointed(sets.groupBy("fp").agg(F.min("sid").alias("lead")))
+    same = sets.join(distinct.withColumnRenamed("fp", "d_fp"), F.col("fp") == F.col("d_fp")).where("sid != lead").select(F.col("sid").alias("u"), F.col("lead").alias("v"))
+    a, b = (distinct.select(F.col("fp").alias(f"fp_{s}"), F.col("lead").alias(s)) for s in "uv")
+    far = linked(distinct.select("fp"), radius).join(a, F.col("a") == F.col("fp_u")).join(b, F.col("b") == F.col("fp_v")).select("u", "v")
+    return same.unionByName(far)
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = near_copies.THRESHOLD) -> DataFrame:
     """One row of each component, all columns as they are: that with the smallest id, of several such that whose text has the smallest hash, of rows equal in both any one.
 
-    Rows without an id stay. Links are those of near_copies, not of fingerprints.
+    Rows without an id stay. A link is a Jaccard similarity of 5-word shingles of `threshold` or more. Pairs that fingerprints
+    of these shingles link within RADIUS bits are proposed and verified; near_copies finds the pairs whose fingerprints
+    differ in more bits.
     """
-    found = checkpointed(near_copies.near_copies(df.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, threshold))
+    found = checkpointed(near_copies.near_copies(df.where(F.col(f"`{id_col}`").isNotNull()), proposed, id_col, text_col, threshold))
     first = (F.col("doc") == F.col("component_id")) & (F.col("txt") == F.col("component_txt"))
     marked = df.withColumn("__txt", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    gone = found.where(~first).select("doc", "txt").distinct()
-    stay = marked.join(gone, (F.col(f"`{id_col}`") == F.col("doc")) & (F.col("__txt") == F.col("txt")), "left_anti")
+    gone = checkpointed(found.where(~first).select(F.col("doc").alias("__gone"), F.col("txt").alias("__gone_txt")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= near_copies.BROADCAST_ROWS else gone
+    stay = marked.join(gone, (F.col(f"`{id_col}`") == F.col("__gone")) & (F.col("__txt") == F.col("__gone_txt")), "left_anti")
     again = checkpointed(found.where(first).groupBy("doc", "txt").count().where("count > 1").select(F.col("doc").alias("__doc"), F.col("txt").alias("__of")))
     if not again.isEmpty():
         repeated = (F.col(f"`{id_col}`") == F.col("__doc")) & (F.col("__txt") == F.col("__of"))
