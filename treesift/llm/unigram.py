@@ -1,16 +1,23 @@
 """SentencePiece encoding and decoding with a unigram model: Viterbi over a double-array trie of pieces with log scores.
 
 Encoding puts one space mark before the text and writes each space as a mark. The best split of the text into pieces is
-the one with the largest sum of scores; among equal sums the one that reaches each place first wins, earlier starts
+the one with the largest sum of log scores; among equal sums the one that reaches each place first wins, earlier starts
 before later ones. A character that no piece covers alone may be taken as unknown at the lowest score less 10, and is
 written as its UTF-8 bytes' pieces. Decoding joins pieces, turns bytes back and marks into spaces, and drops the mark that encoding put
-first. The piece scores are read from a model file; nothing is trained.
+first.
+
+Pieces and scores are read from a model file; nothing is trained. A unigram file holds log scores. A BPE file holds minus
+the rank of each merge instead, which is no log score and would make a split of many frequent pieces better than one
+whole word; its ranks become log scores by Zipf's law, p(piece) = 1 / (1 + rank) over the sum of these. The ids are then
+those of the library for a unigram file with the same pieces and log scores, not those of the BPE merges.
 
 If no piece has a mark behind another character, the text is cut before each run of marks and each distinct pre-token
-of a chunk is split once; all pre-tokens of one length are split at the same time, array by array.
+of a chunk is split once; all pre-tokens of one length are split at the same time, array by array. A long pre-token, as of
+a language without spaces, is split alone: all its matches are found depth by depth, then one pass goes over them.
 
 Null and empty texts have no pieces. A mark character `▁` in a text comes back as a space, the only change a round trip
-makes; `round_trip` compares with the text so normalised. Repeated rows are encoded alike. Texts are handled whole.
+makes; `round_trip` compares with the text so normalised. Repeated rows are encoded alike. Texts are handled whole. An
+empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ import hashlib
 import pickle
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -33,17 +41,26 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Text that is encoded and decoded at a time.
 CODE_BYTES = 4 << 20
+#: Bytes from which a pre-token is split alone, and how many of its starts are matched at a time.
+LONG, STARTS = 192, 1 << 16
 _NORMAL, _UNKNOWN, _BYTE, _USER = 1, 2, 6, 4
 _PRETOKEN = re.compile(r"^[^ ]+| +[^ ]*")
 
 
 def load_pieces(model: bytes) -> list[tuple[str, float, int]]:
-    """(piece, score, type) of a SentencePiece model file, by id."""
+    """(piece, log score, type) of a SentencePiece model file, by id."""
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
     proto.ParseFromString(model)
-    return [(p.piece, p.score, p.type) for p in proto.pieces]
+    pieces = [(p.piece, p.score, p.type) for p in proto.pieces]
+    return zipf_scores(pieces) if proto.trainer_spec.model_type == proto.trainer_spec.BPE else pieces
+
+
+def zipf_scores(pieces: Sequence[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """The pieces with log scores in single precision in place of minus their merge ranks; bytes and others that no merge makes keep theirs."""
+    whole = sum(1 / (1 - s) for _, s, kind in pieces if kind == _NORMAL)
+    return [(p, float(np.float32(-np.log(1 - s) - np.log(whole))) if kind == _NORMAL else s, kind) for p, s, kind in pieces]
 
 
 class DoubleArray:
@@ -123,7 +140,12 @@ class Unigram:
             to = int(np.searchsorted(lens[order], length, side="right"))
             to = min(to, at + max(1, (1 << 21) // max(1, length)))
             group = order[at:to]
-            if length:
+            if length >= LONG:
+                to = at + 1
+                ids = self._split_long(tokens[order[at]])
+                counts[order[at]] = len(ids)
+                found.append(ids)
+            elif length:
                 text = np.frombuffer(b"".join([tokens[k] for k in group]), np.uint8).reshape(len(group), length)
                 ids, n = self._split_group(text)
                 counts[group] = n
@@ -190,6 +212,60 @@ class Unigram:
         order = np.lexsort((-np.arange(len(row)), row))
         return ids[order], counts
 
+    def _matches(self, text: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and id of every piece that begins at first..last - 1, by start and length."""
+        t, n = self.trie, len(text)
+        start = first + np.flatnonzero((text[first:last] & 0xC0) != 0x80)
+        state, depth, found = np.zeros(len(start), np.int64), 0, []
+        while len(start):
+            base = t.base[state]
+            to = base + text[start + depth]
+            ok = (t.check[to] == state) & (base > 0)
+            start, state, depth = start[ok], to[ok].astype(np.int64), depth + 1
+            value = t.value[state]
+            has = value >= 0
+            found.append((start[has], np.full(int(has.sum()), depth), value[has]))
+            inside = start + depth < n
+            start, state = start[inside], state[inside]
+        at, size, ids = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        order = np.lexsort((size, at))
+        return at[order], size[order], ids[order]
+
+    def _split_long(self, token: bytes) -> np.ndarray:
+        """Viterbi for one token: the same split as that of _split_group."""
+        text, n = np.frombuffer(token, np.uint8), len(token)
+        best, back, piece = array("d", bytes(8 * (n + 1))), array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
+        none = float("-inf")
+        for k in range(1, n + 1):
+            best[k] = none
+        width = 1 + (text >= 0xC0).astype(np.int64) + (text >= 0xE0) + (text >= 0xF0)
+        scores, unknown = self.score, self.unknown
+        for first in range(0, n, STARTS):
+            last = min(n, first + STARTS)
+            at, size, ids = self._matches(text, first, last)
+            m_end, m_id, m_score = (at + size).tolist(), ids.tolist(), scores[ids].tolist()
+            leads = first + np.flatnonzero((text[first:last] & 0xC0) != 0x80)
+            bounds = np.searchsorted(at, leads).tolist() + [len(at)]
+            ends = np.minimum(leads + width[leads], n).tolist()
+            for k, i in enumerate(leads.tolist()):
+                here = best[i]
+                if here == none:
+                    continue
+                alone = False
+                for m in range(bounds[k], bounds[k + 1]):
+                    end, score = m_end[m], here + m_score[m]
+                    alone |= end == ends[k]
+                    if score > best[end]:
+                        best[end], back[end], piece[end] = score, i, m_id[m]
+                if not alone and here + unknown > best[ends[k]]:
+                    best[ends[k]], back[ends[k]], piece[ends[k]] = here + unknown, i, -1
+        out, at = [], n
+        while at > 0:
+            i = back[at]
+            out += [piece[at]] if piece[at] >= 0 else [int(self.byte_id[c]) for c in reversed(token[i:at])]
+            at = i
+        return np.array(out[::-1], np.int32)
+
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (no nulls) joined, and how many each has."""
         size = pc.binary_length(text).to_numpy(zero_copy_only=False)
