@@ -6,16 +6,20 @@ holds an item if at least `threshold` of the item's shingles are among the docum
 Sketches are MinHash values in bottom-k form, sized by the partition of set size that an item falls in: of an item with
 n shingles, n - ceil(threshold * n) + 1 of the smallest hashes. A document that holds enough of the item has at least
 one of these, whichever shingles it lacks, so the search misses nothing; banded signatures of whole long documents can't
-promise that (README). A size class of documents is probed only by items whose need it can meet. Candidates are then
-verified by exact containment of the shingle strings.
+promise that (README). A document is probed only by items whose need its length can meet. Candidate documents are then
+verified by exact containment: their windows, with their strings, meet the items' shingles, and equal strings are counted
+for each document and item, each once.
 
 Documents' hashes are probed as they are generated, against the sketch as a broadcast table while it has at most
-BROADCAST_ROWS rows, beyond that in a shuffled join. The items' shingles go to the candidates' documents in the same way,
-while the items' texts have at most BROADCAST_BYTES, so an item that many documents hold gathers them in no task. Items with fewer than five words are one shingle of all their
-words, sought among the document windows of that length. Null or wordless texts hold nothing and are held by nothing.
-Repeated items and documents each count; rows that share an id are merged into one result row, with the most shingles shared.
-Rows without an id
-are named by no result row. Empty tables give no rows.
+BROADCAST_ROWS rows; beyond that both sides are shuffled by hash. The items' shingles go to the candidates' windows by
+broadcast while the items' texts have at most BROADCAST_BYTES, else by hash as well. No join is by item, so one that
+very many documents hold is spread over its shingles, and counts are summed before they are shuffled. Long documents are
+cut into pieces of PIECE words that overlap by a window, so no row holds all windows of one.
+
+Items with fewer than five words are one shingle of all their words, sought among the document windows of that length.
+Null or wordless texts hold nothing and are held by nothing. Items are told apart by their words, so repeated items, and
+several texts under one id, each count by themselves; of rows that share both ids one result row stays, with the most
+shingles shared. Rows without an id are named by no result row. Empty tables give no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,82 +34,98 @@ WIDTH, THRESHOLD = 5, 0.8
 BROADCAST_ROWS = 500_000
 #: Items' texts of so many bytes make shingle strings of at most WIDTH times as many.
 BROADCAST_BYTES = 8 << 20
+#: Words of one piece of a document.
+PIECE = 1 << 16
 
 
 def words_of(c: Column) -> Column:
     """The words of a text, lower-cased; empty for null."""
-    low = F.lower(F.coalesce(c.cast("string"), F.lit("")))
-    return F.split(F.btrim(low, F.lit(" \t\n\x0b\f\r")), "[\\x20\\x09-\\x0D]+", -1)
+    low = F.btrim(F.lower(F.coalesce(c.cast("string"), F.lit(""))), F.lit(" \t\n\x0b\f\r"))
+    return F.when(low == "", F.array().cast("array<string>")).otherwise(F.split(low, "[\\x20\\x09-\\x0D]+", -1))
 
 
-def _windows(words: str, width: int, make: str) -> str:
-    """SQL for the array of `make`, an expression over the window's words w1..w{width} at position i, empty if there are too few words."""
+def _windows(words: str, width: int, make: str, kind: str) -> str:
+    """SQL for the array of `make`, an expression over the words {w} of each window of `width`; empty if there are too few words."""
     parts = ", ".join(f"{words}[i + {k}]" for k in range(width))
-    return f"if(size({words}) >= {width} and {words}[0] != '', transform(sequence(0, size({words}) - {width}), i -> {make.format(parts)}), cast(array() as array<{'bigint' if 'hash' in make else 'string'}>))"
+    return f"if(size({words}) >= {width}, transform(sequence(0, size({words}) - {width}), i -> {make.format(w=parts)}), cast(array() as array<{kind}>))"
 
 
-def _hashes(words: str, width: int) -> Column:
-    return F.expr(_windows(words, width, "xxhash64({})"))
+def _hashes(words: str, width: int) -> str:
+    return _windows(words, width, f"xxhash64({width}, {{w}})", "bigint")
 
 
-def _strings(words: str, width: int) -> Column:
-    return F.expr(f"array_distinct({_windows(words, width, "concat_ws(' ', {})")})")
+def _shingles(words: str, width: int) -> str:
+    return _windows(words, width, f"struct(xxhash64({width}, {{w}}) as hash, concat_ws(' ', {{w}}) as shingle)", "struct<hash: bigint, shingle: string>")
 
 
-def item_sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """(item, width, need, n, hash) for the hashes in each item's sketch; items(item, text)."""
-    words = items.select("item", words_of(F.col("text")).alias("w"))
-    width = F.least(F.lit(WIDTH), F.when(F.col("w")[0] == "", 0).otherwise(F.size("w")))
-    sized = words.withColumn("width", width).where("width > 0")
-    hashes = F.lit(None).cast("array<bigint>")
-    for k in range(1, WIDTH + 1):
-        hashes = F.when(F.col("width") == k, F.array_distinct(_hashes("w", k))).otherwise(hashes)
-    made = sized.withColumn("hs", F.array_sort(hashes)).withColumn("n", F.size("hs"))
-    need = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int")
-    cut = made.withColumn("need", need).withColumn("k", F.col("n") - F.col("need") + 1)
-    return cut.select("item", "width", "need", "n", F.explode(F.slice("hs", F.lit(1), F.col("k"))).alias("hash"))
+def _pieces(docs: DataFrame) -> DataFrame:
+    """docs(..., text) with w, the words of each piece, and n_words of the whole text, in place of text."""
+    others = [c for c in docs.columns if c != "text"]
+    cut = docs.select(*others, words_of(F.col("text")).alias("all")).where("size(all) > 0").withColumn("n_words", F.size("all"))
+    parts = F.expr(f"if(n_words <= {PIECE}, array(all), transform(sequence(0, n_words - 1, {PIECE}), a -> slice(all, a + 1, {PIECE + WIDTH - 1})))")
+    return cut.select(*others, "n_words", F.explode(parts).alias("w"))
+
+
+def item_units(items: DataFrame, threshold: float) -> DataFrame:
+    """(u, width, n, need, shingles) of each distinct text of items(text) that has words; u names it by its words."""
+    units = items.select(words_of(F.col("text")).alias("w")).where("size(w) > 0").select(F.md5(F.array_join("w", " ")).alias("u"), "w").dropDuplicates(["u"])
+    sized = units.withColumn("width", F.least(F.lit(WIDTH), F.size("w")))
+    sets = [f"array_distinct({_shingles('w', k)})" for k in range(1, WIDTH + 1)]
+    made = sized.withColumn("shingles", F.expr("case width " + " ".join(f"when {k} then {e}" for k, e in enumerate(sets, 1)) + " end")).withColumn("n", F.size("shingles"))
+    return made.select("u", "width", "n", F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int").alias("need"), "shingles")
+
+
+def sketches(units: DataFrame) -> DataFrame:
+    """(u, least, hash) for the hashes in each item's sketch; `least` is how many words a document needs to hold it."""
+    smallest = F.slice(F.array_sort(F.expr("transform(shingles, s -> s.hash)")), F.lit(1), F.col("n") - F.col("need") + 1)
+    return units.select("u", (F.col("need") + F.col("width") - 1).alias("least"), F.explode(smallest).alias("hash"))
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _held(docs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """(doc, txt, u, n_shared, n): documents of docs(doc, txt, text), named by id and hash of the text, that hold enough of an item."""
+    sketch = checkpointed(sketches(units))
+    widths = [r.width for r in units.select("width").distinct().orderBy("width").collect()]  # 1 to 5
+    probe = _sent(sketch.select("u", "least", F.col("hash").alias("i_hash")), sketch.count())
+    every = F.expr(f"array_distinct(concat({', '.join(_hashes('w', k) for k in widths or [WIDTH])}))")
+    each = _pieces(docs).select("doc", "txt", "n_words", F.explode(every).alias("hash"))
+    found = each.join(probe, (F.col("hash") == F.col("i_hash")) & (F.col("least") <= F.col("n_words"))).select(F.col("doc").alias("c_doc"), F.col("txt").alias("c_txt"))
+    candidates = checkpointed(found.distinct())
+    named = F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("txt") == F.col("c_txt"))
+    near = _pieces(docs.join(_sent(candidates, candidates.count()), named, "left_semi"))
+    strings = F.expr(f"concat({', '.join(_shingles('w', k) for k in widths or [WIDTH])})")
+    windows = near.select("doc", "txt", F.explode(strings).alias("x")).select("doc", "txt", "x.hash", "x.shingle")
+    own = units.select("u", "n", "need", F.posexplode("shingles").alias("k", "s")).select("u", "n", "need", "k", F.col("s.hash").alias("i_hash"), F.col("s.shingle").alias("i_shingle"))
+    size = units.agg(F.coalesce(F.sum(F.expr("aggregate(shingles, 0L, (a, s) -> a + octet_length(s.shingle))")), F.lit(0))).first()[0]
+    own = F.broadcast(own) if size <= WIDTH * BROADCAST_BYTES else own
+    shared = windows.join(own, (F.col("hash") == F.col("i_hash")) & (F.col("shingle") == F.col("i_shingle"))).select("doc", "txt", "u", "n", "need", "k").distinct()
+    counted = shared.groupBy("doc", "txt", "u", "n", "need").agg(F.count(F.lit(1)).alias("n_shared"))
+    return counted.where("n_shared >= need").select("doc", "txt", "u", "n_shared", F.col("n").cast("bigint").alias("n"))
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    return df.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("txt"), text.alias("text"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item): every pair in which the document holds at least `threshold` of the item."""
-    doc_rows = docs.select(F.col(doc_id).alias("doc"), F.col(text_col).alias("text"))
-    item_rows = items.select(F.col(item_id).alias("item"), F.col(text_col).alias("text"))
-    sketch = checkpointed(item_sketches(item_rows, threshold))
-    widths = [r.width for r in sketch.select("width").distinct().orderBy("width").collect()]  # 1 to 5
-    small = sketch.count() <= BROADCAST_ROWS
-    probe = sketch.withColumnsRenamed({"width": "i_width", "hash": "i_hash"})
-    probe = F.broadcast(probe) if small else probe
-    found = None
-    for width in widths or [WIDTH]:
-        sized = doc_rows.select("doc", words_of(F.col("text")).alias("w")).select("doc", F.array_distinct(_hashes("w", width)).alias("hs"))
-        each = sized.select("doc", F.size("hs").alias("n_doc"), F.explode_outer("hs").alias("hash"))
-        hit = each.join(probe, (F.col("hash") == F.col("i_hash")) & (F.col("i_width") == width) & (F.col("need") <= F.col("n_doc"))).select("doc", "item")
-        found = hit if found is None else found.unionByName(hit)
-    candidates = checkpointed(found.distinct())
-    texts = item_rows.join(sketch.select("item", "width").distinct(), "item").select("item", "width", words_of(F.col("text")).alias("iw"))
-    strings = F.lit(None).cast("array<string>")
-    for k in range(1, WIDTH + 1):
-        strings = F.when(F.col("width") == k, _strings("iw", k)).otherwise(strings)
-    item_sets = texts.select(F.col("item").alias("t_item"), "width", strings.alias("shingles"))
-    item_bytes = item_rows.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-    item_sets = F.broadcast(item_sets) if item_bytes <= BROADCAST_BYTES else item_sets
-    held = doc_rows.join(candidates.select(F.col("doc").alias("c_doc")).distinct(), F.col("doc") == F.col("c_doc"), "left_semi")
-    pairs = held.join(candidates.withColumnRenamed("doc", "c_doc"), F.col("doc") == F.col("c_doc")).select("doc", "item", words_of(F.col("text")).alias("w"))
-    both = pairs.join(item_sets, F.col("item") == F.col("t_item"))
-    own = F.lit(None).cast("array<string>")
-    for k in range(1, WIDTH + 1):
-        own = F.when(F.col("width") == k, _strings("w", k)).otherwise(own)
-    counted = both.select("doc", "item", F.size(F.array_intersect("shingles", own)).cast("bigint").alias("n_shared"), F.size("shingles").cast("bigint").alias("n_item"))
-    # the test comes with the aggregate, which no filter passes: pushed further down it would compute the windows anew
-    passes = F.col("n_shared") >= F.col("n_item") * F.lit(threshold) - F.lit(1e-9)
-    best = counted.groupBy("doc", "item").agg(F.max(F.when(passes, F.struct("n_shared", "n_item"))).alias("m")).where("m is not null")
-    return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("m.n_shared").alias("n_shared"), F.col("m.n_item").alias("n_item"))
-
-
-def without_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item, all columns as they are."""
-    bad = contained_items(docs, items, doc_id, item_id, text_col).select(F.col(doc_id).alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{doc_id}`") == F.col("__bad"), "left_anti")
+    item_rows = items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    held = _held(_rows(docs, doc_id, text_col).where("doc is not null"), checkpointed(item_units(item_rows, threshold)), threshold)
+    names = item_rows.where("item is not null").select("item", F.md5(F.array_join(words_of(F.col("text")), " ")).alias("i_u")).distinct()
+    best = held.join(names, F.col("u") == F.col("i_u")).groupBy("doc", "item").agg(F.max(F.struct("n_shared", "n")).alias("m"))
+    return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("m.n_shared").alias("n_shared"), F.col("m.n").alias("n_item"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text holds no item, all columns as they are; rows without an id are judged too, and of an id's texts each by itself."""
+    units = checkpointed(item_units(items.select(F.col(f"`{text_col}`").cast("string").alias("text")), threshold))
+    bad = checkpointed(_held(_rows(docs, doc_id, text_col), units, threshold).select(F.col("doc").alias("__bad"), F.col("txt").alias("__bad_txt")).distinct())
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__bad")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__bad_txt"))
+    return docs.join(_sent(bad, bad.count()), same, "left_anti")
 
 
 def oracle_sql() -> str:
