@@ -73,12 +73,85 @@ def test_warc_format_with_dictionary(spark):
             list(warc.read_frames(io.BytesIO(broken)))
 
 
-@pytest.mark.parametrize("change", [(b"WARC/1.1", b"WARC/9"), (b"WARC-Date", b"X-Date"), (b"Content-Length: 4", b"Content-Length: 5"), (b"Content-Length: 4", b"Content-Length: x"), (b"\r\n\r\nbody", b"\r\n\r\nbodY")])
+@pytest.mark.parametrize(
+    "change",
+    [
+        (b"WARC/1.1", b"WARC/9"),
+        (b"WARC-Date", b"X-Date"),
+        (b"WARC-Date: 2024", b"WARC-Date: 24"),
+        (b"Content-Length: 4", b"Content-Length: 5"),
+        (b"Content-Length: 4", b"Content-Length: x"),
+        (b"Content-Length: 4", b"Content-Length: 4\r\nContent-Length: 4"),
+        (b"WARC-Payload-Length: 4", b"WARC-Payload-Length: 999"),
+        (b"WARC-Payload-Length: 4", b"WARC-Payload-Length: -4"),
+        (b"Digest: sha1:", b"Digest: sha1:A"),
+        (b"Digest: sha1:", b"Digest: "),
+        (b"<urn:page:1>", b"<urn page>"),
+        (b"WARC-Target-URI: u", b"WARC-Target-URI: \xff"),
+        (b"WARC-Target-URI: u", b"no colon"),
+        (b"WARC-Type: response", b"WARC-Type: revisit"),
+        (b"WARC-Type: response\r\n", b""),
+        (b"text/html; charset=utf-8", b"application/http"),
+        (b"\r\n\r\nbody", b"\r\n\r\nbodY"),
+        (b"body\r\n\r\n", b"body\r\n"),
+    ],
+)
 def test_warc_rejects(change):
     good = warc.record(1, "u", b"body", None)
     assert warc.parse_record(good)[1] == b"body"
+    bad = good.replace(*change)
+    assert bad != good
     with pytest.raises(warc.WarcError):
-        warc.parse_record(good.replace(*change))
+        warc.parse_record(bad)
+
+
+def warc_record(headers, block, version="WARC/1.0"):
+    return "\r\n".join([version, *headers, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_warc_reads_archives_of_others(spark, tmp_path):
+    import zstandard
+
+    body = b"<html>hi</html>"
+    sha1, sha256 = hashlib.sha1(body), hashlib.sha256(body)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nf\r\n" + body + b"\r\n0\r\n\r\n"
+    uuid = "<urn:uuid:9a4f21c0-0000-4000-8000-00000000000{}>"
+    common = ["WARC-Date: 2020-02-03T04:05:06Z"]
+    records = [
+        warc_record(["WARC-Type: warcinfo", f"WARC-Record-ID: {uuid.format(0)}", *common, "Content-Type: application/warc-fields"], b"software: x\r\n"),
+        warc_record(["WARC-Type: response", f"WARC-Record-ID: {uuid.format(1)}", *common, "Content-Type: application/http; msgtype=response", "WARC-Target-URI: http://a/", "WARC-Concurrent-To: <urn:x:1>", "WARC-Concurrent-To: <urn:x:2>", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1.digest()).decode()}"], http),
+        warc_record(["WARC-Type: response", f"WARC-Record-ID: {uuid.format(2)}", *common, "Content-Type: application/http", "X-Folded: one", " two", f"WARC-Payload-Digest: sha256:{sha256.hexdigest()}"], http, "WARC/1.1"),
+        warc_record(["WARC-Type: response", f"WARC-Record-ID: {uuid.format(3)}", *common, "Content-Type: application/http", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1.digest()).decode()}"], chunked),
+        warc_record(["WARC-Type: revisit", f"WARC-Record-ID: {uuid.format(4)}", *common, "WARC-Profile: p", f"WARC-Refers-To: {uuid.format(1)}", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1.digest()).decode()}"], b""),
+        warc_record(["WARC-Type: metadata", f"WARC-Record-ID: {uuid.format(5)}", *common], b"a: b"),
+    ]
+    (tmp_path / "part-0.warc.zst").write_bytes(b"".join(map(zstandard.compress, records)))
+    got = {r.record_id[-1]: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert [got[str(k)].record_type for k in range(6)] == ["warcinfo", "response", "response", "response", "revisit", "metadata"]
+    assert [got[str(k)].payload_bytes for k in (1, 2, 4, 5)] == [len(body), len(body), None, 4]
+    assert got["4"].refers_to_id == uuid.format(1).strip("<>") and got["4"].refers_to is None
+    assert all(r.page_id is None for r in got.values())
+
+
+@pytest.mark.parametrize(("sizes", "archives"), [([3, 3, 3], 1), ([10] * 9, 3), ([3, 95, 3, 3], 3), ([31, 3], 2), ([], 0)])
+def test_warc_archives_are_bounded(sizes, archives):
+    rows = list(warc.archive_rows((bytes([65 + k]) * n for k, n in enumerate(sizes)), b"dict", unit=10, units=4))
+    head = warc.dictionary_frame(b"dict")
+    files = [rows[k : k + 4] for k in range(0, len(rows), 4)]
+    assert len(files) == archives and all(f[0].startswith(head) for f in files)
+    assert b"".join(b"".join(f).removeprefix(head) for f in files) == b"".join(bytes([65 + k]) * n for k, n in enumerate(sizes))
+    assert all(sum(map(len, f)) - len(head) <= 40 or sum(map(bool, f)) == 1 for f in files)
+
+
+def test_warc_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(warc, "HEAVY", 3)
+    texts = ["hot"] * 20 + ["warm"] * 3 + ["", "", "lone", None]
+    df = spark.createDataFrame([(k, "u", t, "x", "y") for k, t in enumerate(texts)], "page_id long, url string, html string, digest string, last string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.warc_round_trip(df).collect()}
+    last = {t or "": k for k, t in enumerate(texts)}
+    assert got == {k: ("revisit", last[t or ""]) if k < last[t or ""] else ("response", None) for k, t in enumerate(texts)}
 
 
 def brute_line_dedup(rows):
@@ -390,11 +463,50 @@ def test_unigram():
     assert [b.decode() for b in coder.decode(ids, n)] == [t.replace("▁", " ") for t in texts]
 
 
+def test_unigram_long_tokens():
+    coder = unigram.Unigram(_ALL)
+    texts = ["日本語の長い文章です。空白はありません。" * 12, "x" * 500, "Donaudampfschifffahrt" * 12 + "😀" * 50 + "\U0001f9ff", "a▁▁▁b" * 60, "é́" * 200]
+    ids, n = coder.encode(pa.array(texts))
+    ends = np.concatenate([[0], np.cumsum(n)])
+    assert [ids[ends[k] : ends[k + 1]].tolist() for k in range(len(texts))] == [brute_unigram(coder, t.replace("▁", " ")) for t in texts]
+    assert [b.decode() for b in coder.decode(ids, n)] == [t.replace("▁", " ") for t in texts]
+
+
+def test_scores_are_log_scores():
+    import math
+
+    normal = [s for _, s, kind in _ALL if kind == 1]
+    assert math.isclose(sum(map(math.exp, normal)), 1, rel_tol=1e-4)
+    assert {p: k for k, (p, _, _) in enumerate(_ALL)}["▁international"] == unigram.Unigram(_ALL).encode(pa.array(["international"]))[0].tolist()[0]
+
+
+def unigram_library():
+    """The library with a unigram file of the same pieces and scores."""
+    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(_PIECES)
+    proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
+    for piece, (_, score, _) in zip(proto.pieces, _ALL, strict=True):
+        piece.score = score
+    return SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+
 def test_unigram_query(spark, docs):
-    got = unigram.encode_decode(docs, queries.model_path(queries.PIECE_MODEL), with_ids=True)
+    """Ids over all of sf0.001 are the library's; where they differ, both splits have the same score, which the library adds up in single precision."""
+    own = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    got = unigram.encode_decode(own, queries.model_path(queries.PIECE_MODEL), with_ids=True)
     rows = got.collect()
-    assert len(rows) == docs.count()
     assert all(r.round_trip and r.n_pieces == len(r.piece_ids) and r.ids_crc32 == zlib.crc32(np.array(r.piece_ids, "<u4").tobytes()) for r in rows)
+    assert Counter(r.doc_id for r in rows) == Counter(k for (k,) in plain(own, "doc_id"))
+    library, score = unigram_library(), np.array([s for _, s, _ in _ALL])
+    texts = dict(plain(own.where("doc_id >= 1000"), "doc_id", "text"))
+    pairs = [(r.piece_ids, library.encode(texts[r.doc_id])) for r in rows if r.doc_id in texts]
+    assert sum(a == b for a, b in pairs) >= 0.97 * len(pairs)
+    assert all(abs(score[a].sum() - score[b].sum()) < 1e-2 for a, b in pairs)
+    coder = unigram.Unigram(_ALL)
+    few = [r for r in rows if r.doc_id in texts][:25]
+    assert all(r.piece_ids == brute_unigram(coder, texts[r.doc_id].replace("▁", " ")) for r in few if texts[r.doc_id])
     assert unigram.encode_decode(empty(docs), queries.model_path(queries.PIECE_MODEL)).count() == 0
 
 
@@ -413,33 +525,42 @@ def test_urls(spark):
 
 
 def brute_contained(docs, items):
+    """The pairs, of several rows with the same ids that with the most shingles shared; and the documents' rows that hold any item."""
+
     def shingles(t, n):
         w = [x for x in WORD.findall((t or "").lower())]
         return {" ".join(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
 
-    out = []
+    best, bad = {}, set()
     for i, t in items:
         n = min(5, len(WORD.findall(t or "")))
         own = shingles(t, n)
-        for d, x in docs:
+        for at, (d, x) in enumerate(docs):
             shared = len(own & shingles(x, n))
-            if own and i is not None and d is not None and shared >= 0.8 * len(own) - 1e-9:
-                out.append((d, i, shared, len(own)))
-    return out
+            if own and shared >= 0.8 * len(own) - 1e-9:
+                bad.add(at)
+                if i is not None and d is not None:
+                    best[d, i] = max(best.get((d, i), (0, 0)), (shared, len(own)))
+    return [(d, i, *m) for (d, i), m in best.items()], bad
 
 
-@pytest.mark.parametrize("limit", [0, 500_000])
-def test_decontamination(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize(("rows", "size", "piece"), [(500_000, 8 << 20, 1 << 16), (0, 0, 1 << 16), (500_000, 8 << 20, 7), (0, 0, 1)])
+def test_decontamination(spark, monkeypatch, rows, size, piece):
+    for name, value in (("BROADCAST_ROWS", rows), ("BROADCAST_BYTES", size), ("PIECE", piece)):
+        monkeypatch.setattr(decontam, name, value)
     passage = " ".join(f"word{k}" for k in range(30))
-    items = [(1, passage), (2, "tiny item"), (3, None), (4, ""), (5, "five words are just enough"), (6, "repeat " * 12), (None, passage)]
-    texts = [(1, f"before\n{passage.upper()} after"), (2, passage.replace("word4 ", "other ")), (3, passage.replace("word12 ", "x ").replace("word20 ", "y ")), (4, "a tiny item here"), (5, None), (6, ""), (7, "so five words are just enough now"), (8, "repeat " * 40), (9, "clean text of many other words"), (None, passage), (1, f"before\n{passage.upper()} after")]
-    d, i = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = plain(decontam.contained_items(d, i), "doc_id", "item_id", "n_shared", "n_item")
-    assert keyed(got) == keyed(set(brute_contained(texts, items)))
-    assert {r[0] for r in plain(decontam.without_contaminated(d, i), "doc_id")} == {k for k, _ in texts} - {r[0] for r in got}
+    items = [(1, passage), (2, "tiny item"), (3, None), (4, ""), (5, "five words are just enough"), (6, "repeat " * 12), (None, passage), (1, "two words"), (7, passage), (8, " ".join(f"word{k}" for k in range(14)))]
+    texts = [(1, f"before\n{passage.upper()} after"), (2, passage.replace("word4 ", "other ")), (3, passage.replace("word12 ", "x ").replace("word20 ", "y ")), (4, "a tiny item here"), (5, None), (6, ""), (7, "so five words are just enough now"), (8, "repeat " * 40), (9, "clean text of many other words"), (None, passage), (1, f"before\n{passage.upper()} after"), (1, "a clean text under an id that is not"), (10, " ".join(f"word{k}" for k in range(14)).replace("word7 ", "x ")), (11, "filler " * 3000 + passage + " filler" * 3000), (12, "two words")]
+    d = spark.createDataFrame([(*t, k, "x") for k, t in enumerate(texts)], "doc_id long, text string, n long, w string")
+    i = spark.createDataFrame([(*t, 0) for t in items], "item_id long, text string, hash long")
+    want, bad = brute_contained(texts, items)
+    assert keyed(plain(decontam.contained_items(d, i), "doc_id", "item_id", "n_shared", "n_item")) == keyed(want)
+    stay = decontam.without_contaminated(d, i)
+    assert stay.columns == d.columns
+    assert keyed(plain(stay, "doc_id", "text", "n", "w")) == keyed([(*t, k, "x") for k, t in enumerate(texts) if k not in bad])
     assert decontam.contained_items(d.where("false"), i).count() == 0
     assert decontam.contained_items(d, i.where("false")).count() == 0
+    assert decontam.without_contaminated(d, i.where("false")).count() == len(texts)
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

@@ -1,13 +1,20 @@
 """WARC archives in Zstandard: a writer, and a reader that checks what it reads.
 
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary, then has one Zstandard frame for
-each record. Spark's own text writer stores the frames: a row is one frame, and the line separator is an empty
-skippable frame, which decoders pass over. So archives go through Spark's output committer to any file system it
-knows, and a task that runs again replaces its files.
+each record. Spark's own text writer stores the frames, so archives go through Spark's output committer to any file system
+it knows, and a task that runs again replaces its files. A row is a run of frames of about UNIT bytes; the line separator
+is an empty skippable frame, which decoders pass over. Each row stands for UNIT bytes: a longer one is followed by empty
+rows, and one that doesn't fit into the UNITS rows of an archive starts the next, so that an archive has UNIT * UNITS bytes at most, or
+one longer record. This rests on Spark writing a string's bytes as they are; every round trip of the tests checks that.
 
 Rows: a null payload is empty. Records with equal payloads of at least `min_revisit_bytes` bytes are grouped by SHA-1;
 the largest id is the response, the others revisit it. Rows repeated with the same id and payload count as that one
-record. Payloads below the bound, and rows without an id, are all responses. An empty table gives no archive and no row.
+record. Payloads below the bound, and rows without an id, are all responses. An empty table gives no archive and no row;
+other columns of the input are not read.
+
+The reader takes any archive of WARC 1.0 or 1.1: all record types, ids of any kind, folded header lines, HTTP messages
+(whose payload follows their own headers). WarcError is raised for a malformed frame, header, length, date or digest, a
+header given twice, and a revisit that doesn't say what it revisits.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import struct
 from collections.abc import Iterator
 
@@ -22,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treesift.llm.common import id_field, shared_dir, ship
+from treesift.llm.common import checkpointed, id_field, shared_dir, ship
 
 DICTIONARY_MAGIC = 0x184D2A5D
 EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0)
-#: Rows of one archive, its dictionary included.
-ROWS_PER_ARCHIVE = 20_000
+#: Bytes that a row of an archive stands for, and rows of an archive.
+UNIT, UNITS = 4 << 20, 16
+#: Shared payloads up to which their digests are sent to all executors; beyond, those of at least 1 / HEAVY of the rows are, at most HEAVY.
+BROADCAST_ROWS, HEAVY = 200_000, 10_000
 #: The dictionary is trained on the first so many payloads that Spark returns, cut to so many characters each; it only affects size.
 SAMPLE_PAYLOADS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 16_384, 65_536
 DATE = "2024-01-01T00:00:00Z"
@@ -62,31 +72,98 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
-def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (lower-case names) and block of the one record in a frame; WarcError where a header or a length is wrong."""
-    end = raw.find(b"\r\n\r\n")
-    if end < 0:
-        raise WarcError("no end of headers")
-    lines = raw[:end].decode("utf-8").split("\r\n")
-    if lines[0] not in ("WARC/1.0", "WARC/1.1"):
-        raise WarcError(f"unknown version {lines[0][:20]!r}")
+_DATE = re.compile(r"\d{4}(-\d\d(-\d\d(T\d\d:\d\d(:\d\d(\.\d{1,9})?)?Z)?)?)?")
+_NAME = re.compile(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
+_URI = re.compile(r"<[^<>\s]+>|[^<>\s]+")
+_REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
+
+
+def parse_headers(head: bytes) -> dict[str, str]:
+    """Header lines (without the version) by lower-case name; a line that starts with a blank continues the one before. Only WARC-Concurrent-To may come again, and is joined by commas."""
+    try:
+        lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise WarcError("a header is not UTF-8") from e
     headers: dict[str, str] = {}
-    for line in lines[1:]:
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t"):
+            if not name:
+                raise WarcError("a continued line without a header")
+            headers[name] = f"{headers[name]} {line.strip()}".strip()
+            continue
         name, colon, value = line.partition(":")
-        if not colon or not name or name != name.strip():
+        if not colon or not _NAME.fullmatch(name):
             raise WarcError(f"bad header line {line[:40]!r}")
-        headers[name.lower()] = value.strip()
-    for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
-        if name not in headers:
+        name, value = name.lower(), value.strip()
+        if name in headers and name != "warc-concurrent-to":
+            raise WarcError(f"{name} is given twice")
+        headers[name] = f"{headers[name]}, {value}" if name in headers else value
+    return headers
+
+
+def _number(headers: dict[str, str], name: str) -> int:
+    if not re.fullmatch(r"[0-9]{1,18}", headers[name]):
+        raise WarcError(f"{name} is no number")
+    return int(headers[name])
+
+
+def _check_digest(said: str, data: bytes, what: str) -> None:
+    """Compares with a digest `algorithm:value`, in base32 or hexadecimal; algorithms that Python lacks are not checked."""
+    algorithm, colon, value = said.partition(":")
+    if not colon or not value:
+        raise WarcError(f"the {what}'s digest has no value")
+    if algorithm.lower() not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return
+    own = hashlib.new(algorithm.lower(), data, usedforsecurity=False)
+    if value.upper().rstrip("=") not in (base64.b32encode(own.digest()).decode().rstrip("="), own.hexdigest().upper()):
+        raise WarcError(f"the {what}'s digest differs")
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes, bool]:
+    """The payload in a record's block, and whether it is there as it was digested: an HTTP message's body may be in a transfer encoding."""
+    if not headers.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        return block, True
+    head, gap, body = block.partition(b"\r\n\r\n")
+    if not gap:
+        raise WarcError("no end of the HTTP headers")
+    return body, not re.search(rb"\r\ntransfer-encoding[ \t]*:", head, re.I)
+
+
+def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers (lower-case names) and block of the one record in a frame; WarcError where a header, a length or a digest is wrong."""
+    version, gap, rest = raw.partition(b"\r\n")
+    if version not in (b"WARC/1.0", b"WARC/1.1"):
+        raise WarcError(f"unknown version {version[:20]!r}")
+    head, end, block = rest.partition(b"\r\n\r\n")
+    if not gap or not end:
+        raise WarcError("no end of headers")
+    headers = parse_headers(head)
+    for name in _REQUIRED:
+        if not headers.get(name):
             raise WarcError(f"{name} is missing")
-    if not headers["content-length"].isdigit():
-        raise WarcError("content-length is no number")
-    length, block = int(headers["content-length"]), raw[end + 4 :]
+    for name in ("warc-record-id", "warc-refers-to"):
+        if name in headers and not _URI.fullmatch(headers[name]):
+            raise WarcError(f"{name} is no URI")
+    if not _DATE.fullmatch(headers["warc-date"]):
+        raise WarcError("warc-date is no date")
+    length = _number(headers, "content-length")
     if len(block) != length + 4 or block[length:] != b"\r\n\r\n":
         raise WarcError(f"content-length is {length}, the block has {len(block) - 4} bytes")
     block = block[:length]
-    if headers["warc-type"] == "response" and "warc-payload-digest" in headers and headers["warc-payload-digest"] != f"sha1:{digest(block)}":
-        raise WarcError("the payload's digest differs")
+    if "warc-block-digest" in headers:
+        _check_digest(headers["warc-block-digest"], block, "block")
+    if headers["warc-type"] == "revisit":
+        if "warc-profile" not in headers or not {"warc-refers-to", "warc-refers-to-target-uri"} & headers.keys():
+            raise WarcError("a revisit has no profile or target")
+        if "warc-payload-length" in headers:
+            _number(headers, "warc-payload-length")
+    elif "warc-segment-number" not in headers and {"warc-payload-digest", "warc-payload-length"} & headers.keys():
+        payload, as_digested = payload_of(headers, block)
+        if "warc-payload-length" in headers and _number(headers, "warc-payload-length") != len(payload):
+            raise WarcError("the payload has another length")
+        if "warc-payload-digest" in headers and as_digested:
+            _check_digest(headers["warc-payload-digest"], payload, "payload")
     return headers, block
 
 
@@ -147,64 +224,110 @@ def train_dictionary(df: DataFrame, payload: str) -> bytes:
         return b""
 
 
-def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> None:
-    """Write a record for every row to archives in `path`.
+def with_revisits(rows: DataFrame, min_revisit_bytes: int) -> DataFrame:
+    """rows(id, url, payload) with refers_to, null for responses.
 
-    Only (id, digest) are grouped, with a partial aggregate, so a payload that a third of all rows share makes no hot
-    task; the one wide shuffle is by (id, digest), which spreads.
+    (digest, id) are grouped with a partial aggregate. The digests that several ids have are sent to all executors while
+    they are few, and no payload is shuffled. Beyond that, those that very many rows have are, whose number is bounded;
+    the others are joined by digest, where none makes a hot task.
     """
-    spark = df.sparkSession
-    ship(spark)
-    rows = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    keyed = rows.where((F.octet_length("payload") >= min_revisit_bytes) & F.col("id").isNotNull()).select("id", F.unhex(F.sha1(F.col("payload").cast("binary"))).alias("digest"))
-    shared = keyed.groupBy("digest").agg(F.max("id").alias("refers_to"), F.min("id").alias("least")).where("least < refers_to").drop("least")
-    revisits = keyed.join(shared, "digest").where("id < refers_to").groupBy("id", "digest").agg(F.max("refers_to").alias("refers_to"))
-    whole = rows.withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary")))).join(revisits, ["id", "digest"], "left").select("id", "url", "payload", "refers_to")
+    digested = rows.withColumn("digest", F.when((F.octet_length("payload") >= min_revisit_bytes) & F.col("id").isNotNull(), F.unhex(F.sha1(F.col("payload").cast("binary")))))
+    by_digest = digested.where("digest is not null").groupBy("digest").agg(F.max("id").alias("last"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    shared = checkpointed(by_digest.where("least < last").select(F.col("digest").alias("s_digest"), "last", "n"))
+    n_shared, n_rows = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def joined(df: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        return df.join(of.select("s_digest", F.col("last").alias(name)), F.col("digest") == F.col("s_digest"), "left").drop("s_digest")
+
+    if n_shared <= BROADCAST_ROWS:
+        found = joined(digested, F.broadcast(shared), "last")
+    else:
+        least = n_rows / HEAVY
+        heavy = joined(digested, F.broadcast(shared.where(F.col("n") >= least)), "h_last")
+        # rows of heavy digests are done; they spread by id
+        key = F.when(F.col("h_last").isNull(), F.col("digest")).otherwise(F.unhex(F.sha1(F.col("id").cast("string").cast("binary"))))
+        found = joined(heavy.withColumn("digest", key), shared.where(F.col("n") < least), "l_last").withColumn("last", F.coalesce("h_last", "l_last"))
+    return found.select("id", "url", "payload", F.when(F.col("id") < F.col("last"), F.col("last")).alias("refers_to"))
+
+
+def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> None:
+    """Write a record for every row to archives in `path`."""
+    ship(df.sparkSession)
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"))
+    whole = with_revisits(rows, min_revisit_bytes)
     dictionary = train_dictionary(rows, "payload")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        from treesift.llm.warc import ROWS_PER_ARCHIVE, dictionary_frame, record
+        from treesift.llm.warc import archive_rows, record
 
         known = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-        encoder, n = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True, **known), 0
-        for b in batches:
-            out = []
-            for page, url, payload, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if dictionary and n % ROWS_PER_ARCHIVE == 0:
-                    out.append(dictionary_frame(dictionary))
-                    n += 1
-                out.append(encoder.compress(record(page, url, payload.encode(), refers)))
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+        encoder = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True, **known)
+        made = (encoder.compress(record(page, url, payload.encode(), refers)) for b in batches for page, url, payload, refers in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for row in archive_rows(made, dictionary):
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["frame"])
 
     made = whole.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    made.write.option("lineSep", EMPTY_FRAME.decode("latin-1")).option("maxRecordsPerFile", ROWS_PER_ARCHIVE).text(path)
+    made.write.option("lineSep", EMPTY_FRAME.decode("latin-1")).option("maxRecordsPerFile", UNITS).text(path)
+
+
+def archive_rows(frames: Iterator[bytes], dictionary: bytes, unit: int = UNIT, units: int = UNITS) -> Iterator[bytes]:
+    """Rows of frames; every `units` of them are an archive, whose first row starts with the dictionary."""
+    head, held, size, at = dictionary_frame(dictionary) if dictionary else b"", [], 0, 0
+
+    def row(parts: list[bytes]) -> Iterator[bytes]:
+        nonlocal at
+        body = b"".join(parts)
+        need = min(units, max(1, -(-len(body) // unit)))
+        while at % units and at % units + need > units:
+            yield b""
+            at += 1
+        yield head + body if at % units == 0 else body
+        yield from [b""] * (need - 1)
+        at += need
+
+    for f in frames:
+        if held and size + len(f) > unit:
+            yield from row(held)
+            held, size = [], 0
+        held.append(f)
+        size += len(f)
+    if held:
+        yield from row(held)
 
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, block) of every record in the archives in `path`."""
+    """(page_id, record_id, url, record_type, refers_to, refers_to_id, payload_bytes, payload_digest, block) of every record in the archives in `path`.
+
+    page_id and refers_to are the numbers of ids `urn:page:N`, null for others. The digest is that of the headers without
+    its algorithm, or the payload's SHA-1; payload_bytes is null for a revisit that doesn't say it.
+    """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    schema = f"page_id {id_type}, payload_bytes bigint, payload_digest string, record_type string, refers_to {id_type}, url string, block binary"
+    schema = f"page_id {id_type}, payload_bytes bigint, payload_digest string, record_type string, refers_to {id_type}, url string, block binary, record_id string, refers_to_id string"
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from treesift.llm.warc import parse_record, read_frames
+        from treesift.llm.warc import digest, parse_record, payload_of, read_frames
+
+        kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "block": pa.binary(), "record_id": pa.string(), "refers_to_id": pa.string()}
 
         def pack(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "block"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-        def number(urn: str | None) -> int | None:
-            name = (urn or "").strip("<>").rpartition(":")[2]
-            return int(name) if name not in ("", "None") else None
+        def number(uri: str) -> int | None:
+            name = uri.removeprefix("urn:page:")
+            return int(name) if name != uri and re.fullmatch(r"-?[0-9]{1,18}", name) else None
 
         for b in batches:
             for content in b.column(0):
                 rows, held = [], 0
                 for raw in read_frames(pa.BufferReader(content.as_buffer())):
                     h, block = parse_record(raw)
-                    rows.append((number(h["warc-record-id"]), int(h["warc-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], number(h.get("warc-refers-to")), h.get("warc-target-uri"), block))
+                    own, target = h["warc-record-id"].strip("<>"), h.get("warc-refers-to", "").strip("<>")
+                    said, known = h.get("warc-payload-digest", "").partition(":")[2], h.get("warc-payload-length")
+                    payload = b"" if h["warc-type"] == "revisit" else payload_of(h, block)[0]
+                    size = int(known) if known else None if h["warc-type"] == "revisit" else len(payload)
+                    rows.append((number(own), size, said or digest(payload), h["warc-type"], number(target), h.get("warc-target-uri"), block, own, target or None))
                     held += len(block)
                     if held > 4 << 20 or len(rows) == 2000:
                         yield pack(rows)
