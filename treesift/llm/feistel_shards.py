@@ -2,17 +2,20 @@
 
 Rows are numbered 0 to N-1 in the order of (id, text checksum, size). A Feistel network over Z_a x Z_b, the smallest
 such rectangle that holds N, permutes the numbers; a value of N or more is walked on through the permutation until it
-falls below N. Row number i then has place p(i): its shard is p mod shards and its slot p div shards, so shards differ
-by one row at most and slots have no gaps. `place` computes the same from a row number alone, without any data.
+falls below N. Fewer than a, so than sqrt(N) + 1, values are N or more: where the walk of each ends is computed beforehand,
+to whatever length, and sent to all executors as a table. Row number i then has place p(i): its shard is p mod shards and
+its slot p div shards, so shards differ by one row at most and slots have no gaps. `place` computes the same from a row
+number alone, without any data.
 
 Null texts have no bytes and the checksum of the empty string. Rows repeated in all of id, text and size are
-interchangeable; each gets its own place. Null ids come first. An empty table gives no rows.
+interchangeable; each gets its own place. Null ids come first. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +24,6 @@ from treesift.llm.common import checkpointed
 N_SHARDS = 24
 ROUNDS = 6
 SEED = 20_240_601
-#: A walk ends within so many steps: at most a values of N or more exist, so its chance of going on falls by 1/sqrt(N) a step, and up to N = 256 it can't be longer. A longer walk raises an error.
-MAX_WALK = 16
 _MUL = 0x9E3779B1
 _MASK = (1 << 32) - 1
 
@@ -41,28 +42,42 @@ def _keys(seed: int) -> list[int]:
     return keys
 
 
-def _mix(x: int, key: int) -> int:
-    """The round function on 32 bits; every product stays below 2**63, so SQL's bigint computes the same."""
+def _mix(x, key: int):
+    """The round function on 32 bits, of a number or an array; every product stays below 2**63, so SQL's bigint computes the same."""
     x = (x ^ key) & _MASK
     x = ((x ^ (x >> 15)) * (_MUL >> 1)) & _MASK
     x = ((x ^ (x >> 13)) * (0x85EBCA6B >> 1)) & _MASK
     return x ^ (x >> 16)
 
 
+def _network(x, n: int, seed: int):
+    """One pass of a number, or an array of them, through the network."""
+    a, b = sides(n)
+    left, right = x % a, x // a
+    for k, key in enumerate(_keys(seed)):
+        if k % 2:
+            right = (right + _mix(left, key)) % b
+        else:
+            left = (left + _mix(right, key)) % a
+    return left + a * right
+
+
 def permute(x: int, n: int, seed: int = SEED) -> int:
-    """The place of row number x among n."""
+    """The place of row number x among n; the walk returns to x < n at the latest, so it ends."""
+    x = _network(x, n, seed)
+    while x >= n:
+        x = _network(x, n, seed)
+    return x
+
+
+def exits(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The values from n on, fewer than sqrt(n) + 1, and where their walks end."""
     a, b = sides(n)
-    for _ in range(MAX_WALK):
-        left, right = x % a, x // a
-        for k, key in enumerate(_keys(seed)):
-            if k % 2:
-                right = (right + _mix(left, key)) % b
-            else:
-                left = (left + _mix(right, key)) % a
-        x = left + a * right
-        if x < n:
-            return x
-    raise ValueError("the walk is too long; choose another seed")
+    values = np.arange(n, a * b, dtype=np.int64)
+    ends = _network(values, n, seed)
+    while len(on := np.flatnonzero(ends >= n)):
+        ends[on] = _network(ends[on], n, seed)
+    return values, ends
 
 
 def place(row_number: int, n: int, shards: int = N_SHARDS, seed: int = SEED) -> tuple[int, int]:
@@ -78,20 +93,28 @@ def _mix_sql(x: str, key: int) -> str:
     return f"transform({x}, v -> v ^ shiftright(v, 16))[0]"
 
 
-def permuted(column: str, n: int, seed: int = SEED) -> Column:
-    """permute() as a Column. The walk is a fold over MAX_WALK steps that stands still once the value is below n."""
+def network_column(column: str, n: int, seed: int = SEED) -> Column:
+    """One pass through the network as a Column."""
     a, b = sides(n)
-    state = "named_struct('l', v % {a}, 'r', v div {a})".format(a=f"{a}L")
-    rounds = f"array({state})"
+    rounds = f"array(named_struct('l', {column} % {a}L, 'r', {column} div {a}L))"
     for k, key in enumerate(_keys(seed)):
         if k % 2:
             step = f"named_struct('l', s.l, 'r', (s.r + {_mix_sql('s.l', key)}) % {b}L)"
         else:
             step = f"named_struct('l', (s.l + {_mix_sql('s.r', key)}) % {a}L, 'r', s.r)"
         rounds = f"transform({rounds}, s -> {step})"
-    once = f"transform({rounds}, s -> s.l + {a}L * s.r)[0]"
-    walk = f"aggregate(sequence(1, {MAX_WALK}), named_struct('v', {column}, 'on', true), (acc, i) -> if(acc.on, transform(transform(array(acc.v), v -> {once}), w -> named_struct('v', w, 'on', w >= {n}L))[0], acc))"
-    return F.expr(f"transform(array({walk}), z -> if(z.on, raise_error('the walk is too long; choose another seed'), z.v))[0]")
+    return F.expr(f"transform({rounds}, s -> s.l + {a}L * s.r)[0]")
+
+
+def with_places(df: DataFrame, column: str, n: int, seed: int = SEED) -> DataFrame:
+    """df with __p, the place permute(row number in `column`, n)."""
+    once = df.withColumn("__once", network_column(column, n, seed))
+    values, ends = exits(n, seed)
+    if not len(values):
+        return once.withColumnRenamed("__once", "__p")
+    walks = df.sparkSession.createDataFrame(list(zip(values.tolist(), ends.tolist(), strict=True)), "__value long, __end long")
+    done = once.join(F.broadcast(walks), F.col("__once") == F.col("__value"), "left")  # fewer than sqrt(n) + 1 rows
+    return done.withColumn("__p", F.coalesce("__end", "__once")).drop("__once", "__value", "__end")
 
 
 def row_numbers(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
@@ -113,10 +136,10 @@ def row_numbers(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
 
 def feistel_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row; only these narrow columns are shuffled."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    narrow = df.select(F.col(id_col), (F.octet_length(text) + 8).cast("bigint").alias("__size"), F.crc32(text.cast("binary")).alias("__crc"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    narrow = df.select(F.col(f"`{id_col}`"), (F.octet_length(text) + 8).cast("bigint").alias("__size"), F.crc32(text.cast("binary")).alias("__crc"))
     numbered, n = row_numbers(narrow.withColumnsRenamed({id_col: "__id"}), ["__id", "__crc", "__size"])
-    placed = numbered.withColumn("__p", permuted("__row", max(1, n), seed))
+    placed = with_places(numbered, "__row", max(1, n), seed)
     return placed.select(
         F.col("__id").alias(id_col),
         F.col("__size").alias("size"),
