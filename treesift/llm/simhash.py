@@ -196,7 +196,14 @@ def linked(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> D
     sizes = keyed.groupBy("part", "key").agg(F.sum(F.col("exact").cast("long")).alias("n_exact"), F.count(F.lit(1)).alias("n_all")).where("n_exact > 0 and n_all > 1")
     is_hot = F.col("n_exact") * F.col("n_all") > bucket * bucket if radius == RADIUS else F.lit(False)
     sizes = checkpointed(sizes.select(F.col("part").alias("s_part"), F.col("key").alias("s_key"), is_hot.alias("hot")))
-    met = checkpointed(keyed.join(sizes, (F.col("part") == F.col("s_part")) & (F.col("key") == F.col("s_key"))).select("fp", "part", "key", "exact", "hot"))
+    of_key = (F.col("part") == F.col("s_part")) & (F.col("key") == F.col("s_key"))
+    n_hot = sizes.where("hot").count()
+    if 0 < n_hot <= near_copies.BROADCAST_ROWS:  # the rows of hot keys are marked where they are; only those of other keys meet by key
+        marked = keyed.join(F.broadcast(sizes.where("hot").select("s_part", "s_key", "hot")), of_key, "left")
+        meet = marked.where("hot is null").drop("s_part", "s_key", "hot").join(sizes.where("not hot"), of_key)
+        met = checkpointed(marked.where("hot").select("fp", "part", "key", "exact", "hot").unionByName(meet.select("fp", "part", "key", "exact", "hot")))
+    else:  # more hot keys than can be sent: a large one is split by Spark, as the join is all that this exchange is for
+        met = checkpointed(keyed.join(sizes, of_key).select("fp", "part", "key", "exact", "hot"))
     cold = met.where("not hot")
     a, b = cold.select(F.col("fp").alias("a"), "part", "key"), cold.where("exact").select(F.col("fp").alias("b"), F.col("part").alias("b_part"), F.col("key").alias("b_key"))
     # the distance is part of the join: what fails it is never a row
