@@ -2,18 +2,21 @@
 
 A line's key is the line without `[\\x20\\x09-\\x0D]` at its ends and with A-Z lower-cased. A key of at least
 `min_chars` code points that at least two documents hold loses all its lines except those in the smallest doc_id that
-holds it. What is kept comes back as a bitmap for each document: the positions of dropped lines as 64-bit words,
-all-zero words left out.
+holds it. What is kept comes back as a compressed bitmap for each document that loses lines: words of 64 lines, a bit set
+for each line that stays, without the words that keep all their lines. No text is in it, and none is shuffled for it.
 
-Hashes of 128 bits are range-partitioned and sorted by (hash, document, position); a running window then streams over
-them and carries the first document of each hash along. A key that very many lines share would meet in one range, so
-the heaviest keys of a sample (at most `hot_keys` of them, which bounds their broadcast) leave that path: their first
-document comes from a partial aggregate over all rows, which is exact as well. The sample only decides which path a
-key takes.
+Keys are hashed once, to 128 bits, and these narrow rows are checkpointed. The hashes are range-partitioned and sorted by
+(hash, document, position); a running window then streams over them and carries the first document of each hash along. A
+key that very many lines share would meet in one range, so the heaviest keys of a sample (at most `hot_keys` of them,
+which bounds their broadcast) leave that path: their first document comes from a partial aggregate over all rows, which
+is exact as well. The sample only decides which path a key takes.
+
+To apply the bitmaps, they are sent to all executors while they have at most BROADCAST_BYTES; beyond that they are joined
+by document.
 
 Null and empty texts are one empty line. Repeated rows with one doc_id count as one document: they keep or lose the
 same lines, as positions of the same key are judged by doc_id. Rows of a doc_id with different texts are told apart by
-a hash of the text. Rows with a null doc_id lose no line and take none from others.
+a hash of the text. Rows with a null doc_id lose no line and take none from others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from treesift.llm.common import checkpointed
 MIN_CHARS = 10
 #: At most so many keys take the aggregate's path; a key needs so many lines in the sample.
 HOT_KEYS, HOT_LINES, SAMPLE = 10_000, 8, 0.02
+BROADCAST_BYTES = 16 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = " \t\n\x0b\f\r"
 
@@ -47,11 +51,11 @@ def _keyed(docs: DataFrame, min_chars: int) -> DataFrame:
     return low.select("doc", "txt", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """(m_doc, m_txt, dropped) for each document of docs(doc, txt, text) that loses lines; dropped is array<struct<word, bits>>."""
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """(m_doc, m_txt, keep) for each document of docs(doc, txt, text) that loses lines; keep is array<struct<word, bits>>, sorted, and lacks the words whose lines all stay."""
     spark = docs.sparkSession
-    keyed = _keyed(docs, min_chars)
-    heavy = _keyed(docs.sample(SAMPLE, seed=7), min_chars).groupBy("h1", "h2").count().where(F.col("count") >= HOT_LINES).orderBy(F.desc("count"), "h1", "h2").limit(hot_keys).select("h1", "h2")
+    keyed = checkpointed(_keyed(docs.where("doc is not null"), min_chars))
+    heavy = keyed.sample(SAMPLE, seed=7).groupBy("h1", "h2").count().where(F.col("count") >= HOT_LINES).orderBy(F.desc("count"), "h1", "h2").limit(hot_keys).select("h1", "h2")
     heavy = checkpointed(heavy)
     if heavy.isEmpty():
         rows = keyed.withColumn("gone", F.lit(False))
@@ -65,47 +69,50 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, hot_keys: int = HO
     stream = Window.partitionBy("gone", "h1", "h2").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dropped = ranged.withColumn("first", F.first("doc", ignorenulls=True).over(stream)).where("gone or doc > first").select("doc", "txt", "pos")
     bit = F.expr("shiftleft(1L, pos % 64)")
-    words = dropped.groupBy("doc", "txt", (F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = dropped.groupBy("doc", "txt", F.expr("int(pos div 64)").alias("word")).agg(F.bitwise_not(F.bit_or(bit)).alias("bits"))
     words = words.withColumnsRenamed({"doc": "m_doc", "txt": "m_txt"})
-    return words.groupBy("m_doc", "m_txt").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    return words.groupBy("m_doc", "m_txt").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("keep"))
+
+
+def _dense(keep: Column, n_lines: Column) -> Column:
+    """The bitmap's words with those filled in that keep all lines."""
+    held = F.map_from_entries(keep)
+    return F.transform(F.sequence(F.lit(0), F.floor(n_lines / 64).cast("int")), lambda w: F.coalesce(held[w], F.lit(-1).cast("bigint")))
 
 
-def _dense(dropped: Column, n_lines: Column) -> Column:
-    """The bitmap's words with the zero words filled in."""
-    held = F.map_from_entries(dropped)
-    return F.transform(F.sequence(F.lit(0), (n_lines / 64).cast("int")), lambda w: F.coalesce(held[w], F.lit(0).cast("bigint")))
+def _with_bitmaps(docs: DataFrame, min_chars: int) -> DataFrame:
+    """docs(doc, txt, text, ...) with keep, null where no line goes."""
+    maps = checkpointed(keep_bitmaps(docs.select("doc", "txt", "text"), min_chars))
+    n, words = maps.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keep")), F.lit(0))).first()
+    maps = F.broadcast(maps) if 64 * n + 40 * words <= BROADCAST_BYTES else maps
+    return docs.join(maps, (F.col("doc") == F.col("m_doc")) & (F.col("txt") == F.col("m_txt")), "left").drop("m_doc", "m_txt")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, n_lines, n_dropped, keep, text): counts, the bitmap (null: nothing dropped) and the text that stays, one row for each row of df."""
-    docs = df.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
-    maps = drop_bitmaps(docs, min_chars)
-    joined = docs.join(maps, (F.col("doc") == F.col("m_doc")) & (F.col("txt") == F.col("m_txt")), "left").select("doc", "text", "dropped")
-    return _applied(joined).select(F.col("doc").alias(id_col), "n_lines", "n_dropped", "keep", "kept")
+    """(id, n_lines, n_dropped, keep, kept): counts, the bitmap (null: nothing dropped) and the text that stays, one row for each row of df."""
+    docs = df.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(f"`{text_col}`").alias("txt"), F.col(f"`{text_col}`").alias("text"))
+    return _applied(_with_bitmaps(docs, min_chars)).select(F.col("doc").alias(id_col), "n_lines", "n_dropped", "keep", "kept")
 
 
 def _applied(joined: DataFrame) -> DataFrame:
-    """joined with n_lines, n_dropped, keep and kept; only texts that lose lines are cut and put together again."""
+    """joined with n_lines, n_dropped and kept; only texts that lose lines are cut and put together again."""
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    loses = F.col("dropped").isNotNull()
+    loses = F.col("keep").isNotNull()
     cut = joined.withColumn("ls", F.when(loses, _lines(F.col("text"))))
-    cut = cut.withColumn("dense", F.when(loses, _dense(F.col("dropped"), F.size("ls"))))
+    cut = cut.withColumn("dense", F.when(loses, _dense(F.col("keep"), F.size("ls"))))
     # lines and words are each used twice here, so the optimiser keeps them as columns and doesn't compute them again for each line
     return cut.select(
-        *joined.drop("dropped").columns,
-        F.col("dropped").alias("keep"),
-        F.when(loses, F.size("ls")).otherwise(F.size(_lines(F.col("text")))).cast("bigint").alias("n_lines"),
-        F.when(loses, F.aggregate("dense", F.lit(0).cast("bigint"), lambda a, w: a + F.bit_count(w))).otherwise(0).cast("bigint").alias("n_dropped"),
-        F.when(loses, F.expr("array_join(filter(ls, (x, i) -> getbit(dense[int(i div 64)], i % 64) = 0), '\\n')")).otherwise(whole).alias("kept"),
+        *joined.columns,
+        F.when(loses, F.size("ls")).otherwise(F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"),
+        F.when(loses, F.aggregate("keep", F.lit(0).cast("bigint"), lambda a, w: a + 64 - F.bit_count(w["bits"]))).otherwise(0).cast("bigint").alias("n_dropped"),
+        F.when(loses, F.expr("array_join(filter(ls, (x, i) -> getbit(dense[int(i div 64)], i % 64) = 1), '\\n')")).otherwise(whole).alias("kept"),
     )
 
 
 def with_kept_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """df with its text column replaced by the text that stays; all its other columns as they are."""
-    own = df.select(*[F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(df.columns)], F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
-    maps = drop_bitmaps(own.select("doc", "txt", "text"), min_chars)
-    joined = own.join(maps, (F.col("doc") == F.col("m_doc")) & (F.col("txt") == F.col("m_txt")), "left")
-    done = _applied(joined)
+    own = df.select(*[F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(df.columns)], F.col(f"`{id_col}`").alias("doc"), F.xxhash64(f"`{text_col}`").alias("txt"), F.col(f"`{text_col}`").alias("text"))
+    done = _applied(_with_bitmaps(own, min_chars))
     return done.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"__c{k}").alias(c) for k, c in enumerate(df.columns)])
 
 
