@@ -8,7 +8,7 @@ from treesift.operators.select import select
 from treesift.options import Options
 from treesift.plans.ast import FilterSyntaxError, UnsupportedFeature
 from treesift.plans.parser import parse
-from treesift.sources.encoders import cbor, csv_records, fullpath_rows, read_name_map
+from treesift.sources.encoders import csv_records, fullpath_rows, read_name_map
 
 
 def kept(spark, schema, rows, text, **options):
@@ -103,7 +103,6 @@ def test_encoders(spark):
     assert [r[0] for r in csv_records(df).collect()] == ['"a,b",1', '" p""",2']
     assert [r[0] for r in csv_records(df, ["n"], dos=True).collect()] == ["1\r", "2\r"]
     assert fullpath_rows(df, "item", ["n"]).first()[0] == "/item[n='1']/name='a,b'"
-    assert cbor({"a": 24, "b": [True, None, -1], "c": "x"}).hex() == "bf6161181861629ff5f620ff61636178ff"
     assert read_name_map("﻿# c\na=b\n\nc = d # e\n") == {"a": "b", "c": "d"}
 
 

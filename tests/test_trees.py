@@ -61,7 +61,7 @@ def test_encoders(spark, tree, tmp_path):
     assert lines(encode(tree, "csv:path=row/item:leafs=tag.id.none:no-header", "row")) == ["x,1,", ",2,"]
     assert lines(encode(tree, "csv+leaf=name+dos", "row")) == ["name\r", "one\r", "two\r"]
     assert lines(encode(tree.limit(1), "fullpath:slax", "row", ["name", "id"])) == [
-        "/row[name=='one']/note='a \"quoted\" <text>'",
+        "/row[name=='one']/note='a \\\"quoted\\\" <text>'",
         "/row[name=='one']/box/n='1'",
         "/row[name=='one']/item[id=='1']/tag='x'",
         "/row[name=='one']/words='p'",
@@ -76,13 +76,14 @@ def test_encoders(spark, tree, tmp_path):
 
 
 def test_syslog(spark):
-    df = spark.createDataFrame([("owl", 'e="m"]\n'), (None, "x")], "animal string, quote string")
-    got = lines(syslog_messages(df, "{:animal} said {:quote}\n", "talk", priority("daemon", "notice"), F.lit("2015-06-23 13:47:09.123").cast("timestamp_ntz").cast("timestamp"), "worker", "program", 222))
-    assert got[0] == '<29>1 2015-06-23T13:47:09.123+0000 worker program 222 talk [talk@32473 animal="owl" quote="e=\\"m\\"\\]\n"] ﻿owl said e="m"]\n'
-    assert got[1].endswith('animal="(null)" quote="x"] ﻿(null) said x')
-    assert " ID47 [ID47@9 " in lines(syslog_messages(df, "{:animal}", "@ID47@9", 14, F.lit(None).cast("timestamp")))[0]
+    df = spark.createDataFrame([("pump 4", 'p="7"]\n'), (None, "x")], "device string, reading string")
+    at = F.lit("2031-11-02 05:06:07.089").cast("timestamp_ntz").cast("timestamp")
+    got = lines(syslog_messages(df, "{:device} reports {:reading}\n", "state", priority("user", "warning"), at, "plant-a", "gauge", 9001))
+    assert got[0] == '<12>1 2031-11-02T05:06:07.089+0000 plant-a gauge 9001 state [state@32473 device="pump 4" reading="p=\\"7\\"\\]\n"] ﻿pump 4 reports p="7"]\n'
+    assert got[1].endswith('device="(null)" reading="x"] ﻿(null) reports x')
+    assert " T3 [T3@77 " in lines(syslog_messages(df, "{:device}", "@T3@77", 14, F.lit(None).cast("timestamp")))[0]
     with pytest.raises(ValueError):
-        syslog_messages(df, "{:animal}", None, 999, F.current_timestamp())
+        syslog_messages(df, "{:device}", None, 999, F.current_timestamp())
 
 
 def test_replay(spark):
@@ -98,17 +99,23 @@ def test_replay(spark):
             read_replay(bad)
 
 
-@pytest.mark.parametrize("options", ["filter=a[x > 1]", "json,filter=a", "@csv:no-header"])
-def test_command_refuses_what_it_cannot_apply(spark, options):
-    with pytest.raises(ValueError, match="applies no filters"):
-        command(spark, ["--options", options, "{:x/%d}", "0"])
+def test_command_applies_its_options(spark):
+    shown = ["{:kind} {:load/%d}\\n", "barge", "40"]
+    assert lines(command(spark, ["--options", "filter=data[load > 39]", *shown])) == ["barge 40\n"]
+    assert lines(command(spark, ["--options", "filter=data[load > 40]", *shown])) == []
+    assert lines(command(spark, ["--options", "@csv", *shown])) == ["kind,load", "barge,40"]
+    assert lines(command(spark, ["--options", "@csv:no-header:leafs=load", *shown])) == ["40"]
+    assert lines(command(spark, ["--xml", "--pretty", "--wrap", "top", *shown])) == ["<top>\n  <kind>barge</kind>\n  <load>40</load>\n</top>"]
+    pretty = lines(command(spark, ["--options", "json,pretty,indent=1", "--top-wrap", "--wrap", "top", *shown]))[0]
+    assert pretty == '{\n "top": {\n  "kind": "barge",\n  "load": 40\n }\n}'
+    assert lines(command(spark, ["--options", "json,no-top,not-first", "--top-wrap", "--wrap", "top", *shown])) == [', "top": {"kind": "barge", "load": 40}']
 
 
 def test_command(spark):
-    text = "The {k:name} weighs {:weight/%d} pounds.\\n"
-    assert lines(command(spark, [text, "fish", "6"])) == ["The fish weighs 6 pounds.\n"]
-    assert lines(command(spark, ["--xml", text, "fish", "6"])) == ["<name>fish</name><weight>6</weight>"]
-    assert json.loads(lines(command(spark, ["--json", "--top-wrap", "--wrap", "top/a", text, "fish", "6"]))[0]) == {"top": {"a": {"name": "fish", "weight": 6}}}
+    text = "{k:kind} carries {:load/%d} crates.\\n"
+    assert lines(command(spark, [text, "barge", "40"])) == ["barge carries 40 crates.\n"]
+    assert lines(command(spark, ["--xml", text, "barge", "40"])) == ["<kind>barge</kind><load>40</load>"]
+    assert json.loads(lines(command(spark, ["--json", "--top-wrap", "--wrap", "top/a", text, "barge", "40"]))[0]) == {"top": {"a": {"kind": "barge", "load": 40}}}
     assert lines(command(spark, ["--xml", "--open", "top/data"])) == ["<top><data>"]
     assert lines(command(spark, ["--xml", "--close", "top/data"])) == ["</data></top>"]
 

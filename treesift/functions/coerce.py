@@ -25,6 +25,8 @@ class Value:
 
 
 def literal(x: object) -> Value:
+    if isinstance(x, int) and not -(2**63) <= x < 2**63:
+        x = float(x)  # no column type of Spark holds these exactly and computes with them
     kind = "bool" if isinstance(x, bool) else "int" if isinstance(x, int) else "float" if isinstance(x, float) else "str"
     return Value(kind, F.lit(x), x)
 
@@ -43,15 +45,34 @@ def holds(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+#: The largest and smallest whole numbers; text beyond them stands for the nearest.
+MOST, LEAST = 2**63 - 1, -(2**63)
+_HEX_MOST = 2**64 - 1
+
+
+def _digits(digits: Column, base: int, fit: int, most: int) -> Column:
+    """A whole number of digits as a double; one of over `fit` digits, leading zeros aside, is `most`."""
+    own = F.ltrim(digits, F.lit("0"))
+    short = F.when(F.char_length(own) <= fit, own)
+    return F.least(F.coalesce(F.conv(F.when(short != "", short).otherwise(F.when(short == "", "0")), base, 10).try_cast("double"), F.lit(float(most))), F.lit(float(most)))
+
+
 def text_number(s: Column) -> Column:
-    """The double that a text stands for: hexadecimal after 0x, octal after 0, decimal; else, and for '', 0."""
-    t = F.ltrim(s)
-    digits = F.regexp_extract(t, r"^[+-]?0[xX]?([0-9a-fA-F]+)$", 1)
+    """The double that a text stands for: hexadecimal after 0x, octal after 0, decimal, inf; else, and for '', 0.
+
+    Whole numbers stay within 64 bits: unsigned after a plain 0x, else signed. No text raises an error.
+    """
+    t = F.ltrim(s, F.lit(" \t\n\x0b\f\r"))
     sign = F.when(F.startswith(t, F.lit("-")), -1.0).otherwise(1.0)
+    body = F.regexp_extract(t, r"^[+-]?0[xX]?([0-9a-fA-F]+)$", 1)
+    whole = F.least(F.greatest(t.try_cast("double"), F.lit(float(LEAST))), F.lit(float(MOST)))
     return (
-        F.when(t.rlike(r"^[+-]?0[xX][0-9a-fA-F]+$"), F.conv(digits, 16, 10).cast("double") * sign)
-        .when(t.rlike(r"^[+-]?0[0-7]+$"), F.conv(digits, 8, 10).cast("double") * sign)
+        F.when(t.rlike(r"^[+-]?(0|[1-9]\d*)$"), whole)
+        .when(t.rlike(r"^0x[0-9a-fA-F]+$"), _digits(body, 16, 16, _HEX_MOST))
+        .when(t.rlike(r"^[+-]?0[xX][0-9a-fA-F]+$"), _digits(body, 16, 16, MOST) * sign)
+        .when(t.rlike(r"^[+-]?0[0-7]+$"), _digits(body, 8, 21, MOST) * sign)
         .when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+        .when(t.rlike(r"^(?i)[+-]?inf(inity)?$"), F.lit(float("inf")) * sign)
         .otherwise(F.lit(0.0))
     )
 
@@ -59,7 +80,7 @@ def text_number(s: Column) -> Column:
 def xnum(v: Value) -> Column:
     """A number; never NULL."""
     if v.kind == "str":
-        return text_number(F.coalesce(v.col, F.lit("")))
+        return F.coalesce(text_number(F.coalesce(v.col, F.lit(""))), F.lit(0.0))
     if v.kind == "bool":
         return F.coalesce(v.col, F.lit(False)).cast("int")
     if v.kind == "invalid":
@@ -67,13 +88,22 @@ def xnum(v: Value) -> Column:
     return F.coalesce(v.col, F.lit(0)) if v.open else v.col
 
 
+def whole(v: Value, most: int = MOST, least: int = LEAST) -> Column:
+    """The number as a bigint, its fraction cut off, held between least and most; what is no number is 0."""
+    if v.kind == "int":
+        return F.least(F.greatest(xnum(v).cast("bigint"), F.lit(least).cast("bigint")), F.lit(most).cast("bigint"))
+    x = xnum(v).cast("double")
+    cut = F.coalesce(x.try_cast("bigint"), F.when(F.isnan(x), F.lit(0).cast("bigint")).when(x > 0, F.lit(MOST)).otherwise(F.lit(LEAST)))
+    return F.least(F.greatest(cut, F.lit(least).cast("bigint")), F.lit(most).cast("bigint"))
+
+
 def xbool(v: Value) -> Column:
     """A condition; fractions are cut first, so 0.5 is false."""
     if v.kind == "bool":
         return v.col
     if v.kind == "int":
         return v.col != 0
-    return xnum(v).cast("bigint") != 0
+    return F.abs(xnum(v)) >= 1
 
 
 def xstr(v: Value) -> Column:

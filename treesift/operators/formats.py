@@ -15,6 +15,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treesift.functions.coerce import Value, whole, xnum
+
 #: Role letters and names.
 ROLES = {"C": "color", "D": "decoration", "E": "error", "G": "gettext", "L": "label", "N": "note", "P": "padding", "T": "title", "U": "units", "V": "value", "W": "warning", "[": "start-anchor", "]": "stop-anchor"}
 #: Modifier letters and names.
@@ -113,7 +115,9 @@ def simplified(text: str) -> str:
     return "".join(parts)
 
 
-_CONVERSION = re.compile(r"%([-+ #0]*)(\d*(?:\.\d+)*)(?:hh|h|ll|l|j|t|z|q)?([diouxXDUeEfFgGcCsSp%])")
+_CONVERSION = re.compile(r"%([-+ #0]*)((?:\*|\d*)(?:\.(?:\*|\d*))*)(?:hh|h|ll|l|j|t|z|q)?([diouxXDUeEfFgGcCsSpm%])")
+#: Conversions that take no value: a percent sign, and the text of the last error.
+_FREE = "%m"
 _WIDE = "[\\u1100-\\u115F\\u2E80-\\u303E\\u3041-\\u33FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uA000-\\uA4CF\\uAC00-\\uD7A3\\uF900-\\uFAFF\\uFE30-\\uFE6F\\uFF00-\\uFF60\\uFFE0-\\uFFE6\\x{1F300}-\\x{1F64F}\\x{20000}-\\x{3FFFD}]"
 _NO_WIDTH = "[\\p{Mn}\\p{Me}\\u200B-\\u200F]|\\x1B\\[[0-9;]*m"
 
@@ -123,33 +127,103 @@ def columns_wide(c: Column) -> Column:
     return F.char_length(F.regexp_replace(F.regexp_replace(c, _NO_WIDTH, ""), _WIDE, "xx"))
 
 
-def padded(c: Column, width: int, left: bool) -> Column:
-    """The text filled with spaces to a number of terminal columns; `left` puts the text first."""
-    space = F.repeat(F.lit(" "), F.greatest(F.lit(width) - columns_wide(c), F.lit(0)))
-    return F.concat(c, space) if left else F.concat(space, c)
+def padded(c: Column, width: int | Column, left: bool) -> Column:
+    """The text filled with spaces to a number of terminal columns; `left`, or a negative width of a column, puts the text first."""
+    wide = F.lit(abs(width)) if isinstance(width, int) else F.abs(width)
+    space = F.repeat(F.lit(" "), F.greatest(wide - columns_wide(c), F.lit(0)))
+    first, last = F.concat(c, space), F.concat(space, c)
+    if isinstance(width, int):
+        return first if left or width < 0 else last
+    return first if left else F.when(width < 0, first).otherwise(last)
+
+
+def _filled(prefix: Column, body: Column, width: int | Column | None, flags: str, zeros: bool) -> Column:
+    """A number's sign and digits at a width: with flag 0 and `zeros`, filled between them, else with spaces."""
+    text = F.concat(prefix, body)
+    if width is None:
+        return text
+    spaced = padded(text, width, "-" in flags)
+    if "0" not in flags or "-" in flags or not zeros:
+        return spaced
+    wide = F.lit(width) if isinstance(width, int) else width
+    full = F.concat(prefix, F.repeat(F.lit("0"), F.greatest(wide - F.char_length(text), F.lit(0))), body)
+    return full if isinstance(width, int) else F.when(width < 0, spaced).otherwise(full)
+
 
+def _typed(value: Column, numeric: bool) -> Value:
+    return Value("float" if numeric else "str", value)
 
-def printf(form: str, c: Column, numeric: bool, *more: Column) -> Column:
-    """Values in a printf format: length letters go, `%u` is `%d`, a number that meets `%s` is text; of the numbers in `%8.20.6s` the last two bound the text."""
+
+def _integer(value: Column, numeric: bool, letter: str, flags: str, width: int | Column | None, precision: int | Column | None) -> Column:
+    """A whole number; texts count as the number they stand for, and what passes 64 bits as the nearest."""
+    n = F.when(value.isNotNull(), F.coalesce(value.try_cast("bigint"), whole(_typed(value, numeric))) if numeric else whole(_typed(value, numeric)))
+    if letter in "xXo":
+        digits = F.conv(n.cast("string"), 10, 8) if letter == "o" else F.hex(n) if letter == "X" else F.lower(F.hex(n))
+        prefix = F.when(n != 0, {"x": "0x", "X": "0X", "o": "0"}[letter]).otherwise("") if "#" in flags else F.lit("")
+    else:
+        digits = F.ltrim(n.cast("string"), F.lit("-"))
+        prefix = F.when(n < 0, "-").otherwise("+" if "+" in flags else " " if " " in flags else "")
+    if precision is not None:
+        least = F.lit(precision) if isinstance(precision, int) else precision
+        digits = F.concat(F.repeat(F.lit("0"), F.greatest(least - F.char_length(digits), F.lit(0))), digits)
+    return _filled(prefix, digits, width, flags, precision is None)
+
+
+def _fraction(value: Column, numeric: bool, letter: str, flags: str, width: int | Column | None, precision: int | Column | None) -> Column:
+    """A double in fixed (f), scientific (e) or the shorter of both forms (g)."""
+    x = value.cast("double") if numeric else F.when(value.isNotNull(), xnum(_typed(value, numeric)))
+    prefix = F.when(x < 0, "-").otherwise("+" if "+" in flags else " " if " " in flags else "")
+    size, kind = F.abs(x), letter.lower()
+    places = F.lit(6 if precision is None else precision) if not isinstance(precision, Column) else F.when(precision < 0, 6).otherwise(precision)
+
+    def shown(n: Column, how: str) -> Column:
+        return F.call_function("format_string", F.concat(F.lit("%."), n.cast("string"), F.lit(how)), size)
+
+    if kind == "g":
+        places = F.greatest(places, F.lit(1))
+        science = shown(places - 1, "e")
+        power = F.regexp_extract(science, "e([-+][0-9]+)$", 1).try_cast("int")
+        text = F.when((power < -4) | (power >= places), science).otherwise(shown(F.greatest(places - 1 - power, F.lit(0)), "f"))
+        if "#" in flags:
+            text = F.when(F.contains(text, F.lit(".")), text).otherwise(F.regexp_replace(text, r"($|e)", ".$1"))
+        else:
+            text = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
+    else:
+        text = shown(places, kind)
+    text = F.when(F.isnan(size), "nan").when(size == float("inf"), "inf").otherwise(text)
+    return _filled(prefix, F.upper(text) if letter in "EG" else text, width, flags, True)
+
+
+def printf(form: str, c: Column, numeric: bool, *more: Column, error: str = "") -> Column:
+    """Values in a printf format: length letters go, a number that meets `%s` is text; of the numbers in `%8.20.6s` the last two bound the text.
+
+    A `*` in place of a width or precision takes a value of its own, a negative width puts the text first. `%m` is `error`.
+    A text that meets a number's conversion counts as the number it stands for; no value raises an error. Fractions are
+    rounded from their shortest decimal form, halves away from zero.
+    """
     values, parts, at = iter((c, *more)), [], 0
     for m in _CONVERSION.finditer(form):
-        flags, width, letter = m.groups()
+        flags, widths, letter = m.groups()
         parts.append(F.lit(form[at : m.start()]))
         at = m.end()
         if letter == "%":
             parts.append(F.lit("%"))
             continue
-        value = next(values, F.lit(None))
-        letter = {"i": "d", "u": "d", "U": "d", "D": "d", "F": "f", "S": "s", "C": "c", "p": "x"}.get(letter, letter)
-        if letter == "s":
-            least, *bounds = width.split(".")
+        given = [whole(Value("str", next(values, F.lit(0)).cast("string")), 10_000, -10_000).cast("int") if t == "*" else int(t) if t else None for t in widths.split(".")]
+        width, bounds = given[0], [b for b in given[1:] if b is not None]
+        value = F.lit(error) if letter == "m" else next(values, F.lit(None))
+        letter = {"i": "d", "u": "d", "U": "d", "D": "d", "O": "o", "F": "f", "S": "s", "C": "c", "p": "x", "m": "s"}.get(letter, letter)
+        if letter in "sc":
             text = value.cast("string")
-            text = F.left(text, F.lit(min(map(int, bounds)))) if bounds else text
-            parts.append(padded(text, int(least), "-" in flags) if least else text)
+            if letter == "c":
+                text = F.char(value.try_cast("bigint")) if numeric else F.left(text, F.lit(1))
+            for b in bounds:
+                text = F.left(text, F.lit(b)) if isinstance(b, int) else F.when(b < 0, text).otherwise(F.left(text, b))
+            parts.append(text if width is None else padded(text, width, "-" in flags))
+        elif letter in "dxXo":
+            parts.append(_integer(value, numeric, letter, flags, width, bounds[0] if bounds else None))
         else:
-            typed = value.cast("double") if letter in "eEfgG" else value if letter == "c" else value.cast("bigint")
-            shown = F.format_string(f"%{flags}{'.'.join(width.split('.')[:2])}{letter}", typed)
-            parts.append(F.when(value.isNotNull(), shown))
+            parts.append(_fraction(value, numeric, letter, flags, width, bounds[0] if bounds else None))
     parts.append(F.lit(form[at:]))
     return F.concat(*parts)
 
@@ -158,20 +232,20 @@ def humanize(c: Column, base: int = 1024, space: bool = False, decimal: bool = F
     """44M style: the value over the largest power of base that it reaches, rounded by its last remainder; with `decimal`, one digit below ten."""
     suffixes = ["", "K" if base == 1024 else "k", "M", "G", "T", "P", "E"]
     gap = " " if space else ""
-    n, out = c.cast("bigint"), None
+    n, out = F.greatest(F.coalesce(c.try_cast("bigint"), whole(Value("str", c.cast("string")))), F.lit(1 - 2**63)), None
     for k in range(len(suffixes) - 1, -1, -1):
         unit = base**k
         if k == 0:
             shown = F.concat(n.cast("string"), F.lit(gap))
         else:
-            whole = (F.abs(n) - F.abs(n) % unit) / unit
+            full = (F.abs(n) - F.abs(n) % unit) / unit
             part = F.floor((F.abs(n) % unit) / (base ** (k - 1)))
-            rounded = (whole + (part >= base // 2).cast("int")).cast("bigint")
+            rounded = (full + (part >= base // 2).cast("int")).cast("bigint")
             text = rounded.cast("string")
             if decimal:
                 tenth = F.floor((part * 10 + base // 2) / base)
-                small = (whole < 9) | ((whole == 9) & (part < (973 if base == 1024 else 950)))
-                text = F.when(small, F.concat((whole.cast("bigint") + (tenth >= 10).cast("int")).cast("string"), F.lit("."), (tenth % 10).cast("string"))).otherwise(text)
+                small = (full < 9) | ((full == 9) & (part < (973 if base == 1024 else 950)))
+                text = F.when(small, F.concat((full.cast("bigint") + (tenth >= 10).cast("int")).cast("string"), F.lit("."), (tenth % 10).cast("string"))).otherwise(text)
             shown = F.concat(F.when(n < 0, "-").otherwise(""), text, F.lit(gap + suffixes[k]))
         out = F.when(F.abs(n) >= (unit if k else 0), shown) if out is None else out.when(F.abs(n) >= (unit if k else 0), shown)
     return out
@@ -216,7 +290,10 @@ class Format:
     rename maps field names for encoded styles; `arguments` are the contents of fields with modifier `a`, in turn; `inputs`
     gives a field's columns where its format takes several; `catalog` holds translations: of whole formats in their
     simplified form (role G), and of values and texts (modifier g); attributes are columns shown as a field's attributes
-    in XML; xpath is the path of the rows for HTML, keys marks key fields in XML, info is (type, help) by field for HTML.
+    in XML; xpath is the path of the rows for HTML, keys marks key fields in XML, info is (type, help) by field for HTML;
+    error is the text of `%m`; pretty gives JSON and XML a line for each field, indented by so many spaces for each level, `depth`
+    being that of the rows; formatter(field, column, "display" or "encoding") gives a field's text in place of its
+    format, or None to leave it.
     """
 
     def __init__(
@@ -234,12 +311,17 @@ class Format:
         info: Mapping[str, tuple[str, str]] | None = None,
         color: bool = True,
         no_humanize: bool = False,
+        error: str = "",
+        pretty: int | None = None,
+        depth: int = 0,
+        formatter: Callable[[Descriptor, Column, str], Column | None] | None = None,
     ):
         self.catalog = dict(catalog or {})
         self.fields = self._translated(self._argued(parse_format(text), iter(arguments)), text)
         self.rename, self.underscores, self.units, self.keys, self.xpath = dict(rename or {}), underscores, units, keys, xpath
         self.inputs, self.attributes, self.info = dict(inputs or {}), dict(attributes or {}), dict(info or {})
-        self.color, self.no_humanize = color, no_humanize
+        self.color, self.no_humanize, self.error, self.formatter = color, no_humanize, error, formatter
+        self.pretty, self.depth = pretty, depth
 
     @staticmethod
     def _argued(fields: list[Descriptor], arguments: Iterator[str]) -> list[Descriptor]:
@@ -282,14 +364,17 @@ class Format:
         form = d.encoding or (re.sub(r"^%\d+", "%", d.form) if encoded else d.form)
         if encoded and d.empty:
             return F.lit("true")
-        if form and not [m for m in _CONVERSION.finditer(form) if m[3] != "%"] and d.content not in self.inputs:
-            return F.lit(form.replace("%%", "%"))
+        if form and not [m for m in _CONVERSION.finditer(form) if m[3] not in _FREE] and d.content not in self.inputs:
+            return printf(form, F.lit(None), False, error=self.error)
         c, *more = [element] if element is not None else [F.col(f"`{n}`") for n in self.inputs.get(d.content, [d.content])]
         numeric = self._type(df, d) != "string"
-        if "humanize" in d.modifiers and not encoded and not self.no_humanize:
+        own = self.formatter(d, c, "encoding" if encoded else "display") if self.formatter else None
+        if own is not None:
+            text = own
+        elif "humanize" in d.modifiers and not encoded and not self.no_humanize:
             text = humanize(c, 1000 if "hn-1000" in d.modifiers else 1024, "hn-space" in d.modifiers, "hn-decimal" in d.modifiers)
         else:
-            text = printf(form, c, numeric, *more) if form else c.cast("string")
+            text = printf(form, c, numeric, *more, error=self.error) if form else c.cast("string")
         text = self._message(text) if "gettext-field" in d.modifiers and not encoded else text
         text = F.trim(text) if encoded and "trim" in d.modifiers else text
         return F.coalesce(text, F.lit("null" if not numeric and encoded and "no-quotes" in d.modifiers else "(null)"))
@@ -366,7 +451,12 @@ class Format:
                 continue
             items = [F.array_join(F.transform(F.col(f"`{d.content}`"), self._items(df, d)), ", ") if self._type(df, d).startswith("array") else self._json_value(df, d, None) for d in ds]
             parts.append(F.concat(F.lit(f'"{name[0]}": ['), F.concat_ws(", ", *[F.nullif(i, F.lit("")) for i in items]), F.lit("]")))
-        return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+        inside, end = self._break(1), self._break(0)
+        return F.concat(F.lit("{" + inside), F.concat_ws("," + inside if inside else ", ", *parts), F.lit(end + "}"))
+
+    def _break(self, more: int) -> str:
+        """The line break before a node so many levels below the rows; none unless pretty."""
+        return "" if self.pretty is None else "\n" + " " * (self.pretty * (self.depth + more))
 
     def _units_of(self, d: Descriptor) -> str:
         after = self.fields[self.fields.index(d) + 1 :]
@@ -377,7 +467,7 @@ class Format:
         parts = []
         for d in self._values():
             units = self._units_of(d)
-            head = [F.lit(f"<{self.name(d)}")]
+            head = [F.lit(f"{self._break(0)}<{self.name(d)}")]
             for a in self.attributes.get(d.content, ()):
                 head.append(F.coalesce(F.concat(F.lit(f' {a.removeprefix("_")}="'), escape_xml(F.col(f"`{a}`").cast("string"), True), F.lit('"')), F.lit("")))
             head.append(F.lit((' key="key"' if self.keys and "key" in d.modifiers else "") + (f' units="{units}"' if units else "") + ">"))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from treesift.functions.coerce import Value, compare, field_value, holds, literal, xbool, xnum, xstr
 from treesift.functions.library import call
-from treesift.plans.ast import Attribute, Binary, Call, Choice, Field, Negate, Not, Number, Path, Self, Text, UnsupportedFeature
+from treesift.plans.ast import Attribute, Binary, Call, Choice, Field, Negate, Not, Number, Path, Self, Step, Text, UnsupportedFeature
 from treesift.plans.parser import parse
 
 
@@ -49,7 +49,13 @@ def evaluate(node: object, frame: Frame) -> Value:
         return Value("bool", ~holds(xbool(evaluate(node.value, frame))))
     if isinstance(node, Negate):
         v = evaluate(node.value, frame)
-        return v if frame.compat else Value("float" if v.kind != "int" else "int", -xnum(v))
+        if frame.compat:
+            return v
+        if isinstance(v.literal, (int, float)) and not isinstance(v.literal, bool):
+            return literal(-v.literal)
+        if v.kind != "int":
+            return Value("float", -xnum(v))
+        return Value("int", F.coalesce(F.try_subtract(F.lit(0).cast("bigint"), xnum(v).cast("bigint")), F.lit(2**63 - 1)))
     if isinstance(node, Choice):
         test = evaluate(node.condition, frame)
         yes = test if node.yes is None else evaluate(node.yes, frame)
@@ -70,7 +76,8 @@ def _binary(node: Binary, frame: Frame) -> Value:
         if node.op == "div":
             return Value("float", F.try_divide(x, y))
         if node.op == "mod":
-            rest = x - y * (x / F.when(y != 0, y)).cast("bigint")
+            quotient = F.try_divide(x, y)
+            rest = x - y * F.coalesce(quotient.try_cast("bigint").cast("double"), quotient)  # beyond 64 bits it has no fraction to cut
             return Value("float", F.when(y == 0, F.lit(0.0)).otherwise(rest))
         return Value("float", {"+": x + y, "-": x - y, "*": x * y}[node.op])
     if frame.compat and any(isinstance(s, Binary) and s.op == "div" for s in (node.left, node.right)):
@@ -120,8 +127,17 @@ def _instances(dtype: T.DataType) -> T.StructType | None:
     return None
 
 
-def _nth(n: int) -> Callable[[Column, Column], Column]:
-    return lambda x, i: i == n - 1
+def _nth(n: int | float) -> Callable[[Column, Column], Column]:
+    return lambda x, i: i == int(n) - 1 if n == int(n) else F.lit(False)
+
+
+def _every_name(dtype: T.DataType) -> set[str]:
+    """The names of all fields at any depth."""
+    if isinstance(dtype, T.ArrayType):
+        return _every_name(dtype.elementType)
+    if not isinstance(dtype, T.StructType):
+        return set()
+    return set(dtype.names).union(*[_every_name(f.dataType) for f in dtype.fields])
 
 
 class Selector:
@@ -144,18 +160,44 @@ class Selector:
         return [f.name for f in df.schema.fields[: max(0, last)] if isinstance(f.dataType, nested) and (isinstance(f.dataType, T.StructType) or _instances(f.dataType) is not None)]
 
     def _chosen(self, df: DataFrame) -> DataFrame:
-        positional = [p for p in self.paths if any(map(is_position, (q for s in p.steps for q in s.predicates)))]
-        if positional:
-            if len(self.paths) > 1:
-                raise UnsupportedFeature("positions in a union")
+        placed = [p for p in self.paths if p.steps[0].name in (self.table, "*") and any(map(is_position, p.steps[0].predicates))]
+        if not placed:
+            return self._pruned(df, self.paths)
+        if len(self.paths) == 1:
             path = self.paths[0]
-            if path.steps[0].name in (self.table, "*") and any(map(is_position, path.steps[0].predicates)):
-                df = self._positions(df, path)
-                if len(path.steps) == 1:
-                    return df
-                rest = Path((type(path.steps[0])(path.steps[0].name), *path.steps[1:]), path.absolute, path.negated)
-                return self._pruned(df, [rest])
-        return self._pruned(df, self.paths)
+            if path.negated and len(path.steps) == 1:
+                return self._but(df, self._positions(df, path))
+            df = self._positions(df, path)
+            if len(path.steps) == 1:
+                return df
+            return self._pruned(df, [Path((Step(path.steps[0].name), *path.steps[1:]), path.absolute, path.negated)])
+        if any(p.negated or len(p.steps) > 1 for p in self.paths):
+            raise UnsupportedFeature("positions of rows in a union with nested or negated paths")
+        return self._union_of_rows(df, placed)
+
+    def _but(self, df: DataFrame, gone: DataFrame) -> DataFrame:
+        """The rows of df that have another place in order_by (and within) than those of gone, which are few or one of a group."""
+        names = [*self.order_by, *(n for n in self.within if n not in self.order_by)]
+        keys = gone.select(*[F.col(f"`{n}`").alias(f"__g{k}") for k, n in enumerate(names)])
+        return df.join(keys, reduce(lambda a, b: a & b, [F.col(f"`{n}`").eqNullSafe(F.col(f"__g{k}")) for k, n in enumerate(names)]), "left_anti")
+
+    def _union_of_rows(self, df: DataFrame, placed: list[Path]) -> DataFrame:
+        """Rows that any path takes, each once; order_by must tell rows apart."""
+        frame, plain = self._row_frame(df), None
+        for p in self.paths:
+            if p not in placed and p.steps[0].name in (self.table, "*"):
+                c = reduce(lambda x, y: x & y, [condition(q, frame) for q in p.steps[0].predicates], F.lit(True))
+                plain = holds(c) if plain is None else plain | holds(c)
+        out = df.where(F.lit(False) if plain is None else plain)
+        picked: list[DataFrame] = []
+        for p in placed:
+            rows = self._positions(df, p)
+            rows = rows if plain is None else rows.where(~plain)
+            for q in picked:
+                rows = self._but(rows, q)
+            picked.append(rows)
+            out = out.unionByName(rows)
+        return out
 
     def _positions(self, df: DataFrame, path: Path) -> DataFrame:
         """Predicates of the row step in turn; a number takes the n-th row, in `order_by`, of what is left (of each group of `within`)."""
@@ -177,11 +219,26 @@ class Selector:
     def _row_frame(self, df: DataFrame) -> Frame:
         return _frame(df.schema, lambda n: F.col(f"`{n}`"), self.compat, False)
 
+    def _needed(self, df: DataFrame, paths: Sequence[Path], frame: Frame) -> Column | None:
+        """A condition on columns of their own that every row shown meets: the row steps' predicates, if all paths can only start at the rows."""
+        names, conditions = _every_name(df.schema), []
+        for p in paths:
+            first = p.steps[0]
+            if p.negated:
+                continue
+            if first.name != self.table or not first.predicates or (not p.absolute and first.name in names):
+                return None
+            conditions.append(reduce(lambda a, b: a & b, [condition(q, frame) for q in first.predicates]))
+        return reduce(lambda a, b: a | b, conditions) if conditions else None
+
     def _pruned(self, df: DataFrame, paths: Sequence[Path]) -> DataFrame:
         only_not = all(p.negated for p in paths)
         frame = self._row_frame(df)
         shown, hidden, deeper = self._match(self.table, [(p, 0, None) for p in paths], frame)
         full = F.lit(True) if only_not else shown
+        if deeper and (needed := self._needed(df, paths, frame)) is not None:
+            df = df.where(needed)  # reaches the scan; inside the nested test it would not
+            deeper = [(p, k, None if len(paths) == 1 else c) for p, k, c in deeper]
         if full is None and not deeper and not any(not p.absolute for p in paths):
             return df.where(F.lit(False))
         rest = [*deeper, *[(p, 0, None) for p in paths if not p.absolute]]
@@ -208,8 +265,11 @@ class Selector:
                 made = [(n, v) for n, v in made if v is not None]
         return out.select(*[v.alias(n) for n, v in made])
 
-    def _match(self, name: str, going: list, frame: Frame) -> tuple[Column | None, Column | None, list]:
-        """(condition to show, condition to hide, continuations) of a node under the paths that may go on here."""
+    def _match(self, name: str, going: list, frame: Frame, placed: dict | None = None) -> tuple[Column | None, Column | None, list]:
+        """(condition to show, condition to hide, continuations) of a node under the paths that may go on here.
+
+        `placed` has the condition of each step with positions; where it lacks one, the node is the only one of its name.
+        """
         shown = hidden = None
         deeper = []
         for path, k, so_far in going:
@@ -217,11 +277,13 @@ class Selector:
             if step.name not in ("*", name):
                 continue
             c = so_far
-            for node in step.predicates:
-                if is_position(node):
-                    raise UnsupportedFeature("a position here")
-                p = condition(node, frame)
+            if placed and (id(path), k) in placed:
+                p = placed[id(path), k]
                 c = p if c is None else c & p
+            else:
+                for node in step.predicates:
+                    p = F.lit(node.value == 1) if is_position(node) else condition(node, frame)
+                    c = p if c is None else c & p
             c = F.lit(True) if c is None else c
             if k + 1 < len(path.steps):
                 deeper.append((path, k + 1, c))
@@ -231,6 +293,20 @@ class Selector:
                 shown = c if shown is None else shown | c
         return shown, hidden, deeper
 
+    @staticmethod
+    def _places(name: str, col: Column, going: list, test: Callable[[object], Callable[[Column], Column]]) -> dict:
+        """For each step with positions that may match elements of an array: the places, from 0, of those that its predicates leave in turn."""
+        found = {}
+        for path, k, _ in going:
+            step = path.steps[k]
+            if step.name not in ("*", name) or not any(map(is_position, step.predicates)):
+                continue
+            left = F.transform(col, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+            for node in step.predicates:
+                left = F.filter(left, _nth(node.value) if is_position(node) else test(node))
+            found[id(path), k] = F.transform(left, lambda e: e["i"])
+        return found
+
     def _visible(self, name: str, col: Column, dtype: T.DataType, going: list, only_not: bool) -> tuple[Column | None, Column | None, bool]:
         """(value, condition that it is there, whether it is unchanged) of a column or nested field; value None: not shown."""
         anew = [(p, k, c) for p, k, c in going]
@@ -276,45 +352,52 @@ class Selector:
         return (F.struct(*parts), some, False) if some is not None else (None, None, False)
 
     def _list(self, name: str, col: Column, inner: T.StructType, going: list, only_not: bool) -> tuple[Column | None, Column | None, bool]:
-        matching = [g for g in going if g[0].steps[g[1]].name in ("*", name)]
-        if len(matching) == 1 and any(map(is_position, matching[0][0].steps[matching[0][1]].predicates)):
-            path, k, before = matching[0]
-            if k + 1 < len(path.steps):
-                raise UnsupportedFeature("a position before the last step of nested data")
-            array = col if before is None else F.when(holds(before), col)
-            for node in path.steps[k].predicates:
-                array = F.filter(array, _nth(int(node.value)) if is_position(node) else self._test(node, inner))
-            return array, F.size(array) > 0, False
-
-        def judged(x: Column) -> tuple[Column | None, Column | None, Column | None]:
-            shown, hidden, deeper = self._match(name, going, _frame(inner, lambda c: x[c], self.compat, False))
+        places = self._places(name, col, going, lambda node: lambda e: holds(condition(node, _frame(inner, lambda c: e["x"][c], self.compat, False))))
+
+        def judged(x: Column, i: Column | None = None) -> tuple[Column | None, Column | None, Column | None]:
+            placed = {k: F.lit(True) if i is None else F.array_contains(p, i) for k, p in places.items()}
+            shown, hidden, deeper = self._match(name, going, _frame(inner, lambda c: x[c], self.compat, False), placed)
             value, here, _ = self._struct(x, inner, deeper + [(p, 0, None) for p, k, _ in going if k == 0], shown, only_not)
             return value, here, hidden
 
+        def kept(x: Column, i: Column | None = None) -> Column:
+            _, here, hidden = judged(x, i)
+            return holds(here) & (F.lit(True) if hidden is None else ~holds(hidden))
+
         value, here, hidden = judged(F.col("__probe"))
         if only_not:
             if hidden is None:
                 return col, None, True
-            return F.filter(col, lambda x: ~holds(judged(x)[2])), None, False
+            return F.filter(col, (lambda x, i: ~holds(judged(x, i)[2])) if places else (lambda x: ~holds(judged(x)[2]))), None, False
         if value is None or here is None:
             return None, None, False
-        kept = F.filter(col, lambda x: holds(judged(x)[1]) & (F.lit(True) if hidden is None else ~holds(judged(x)[2])))
-        return F.transform(kept, lambda x: judged(x)[0]), F.size(kept) > 0, False
-
-    def _test(self, node: object, inner: T.StructType) -> Callable[[Column], Column]:
-        return lambda x: holds(condition(node, _frame(inner, lambda c: x[c], self.compat, False)))
+        if places:
+            made = F.array_compact(F.transform(col, lambda x, i: F.when(kept(x, i), judged(x, i)[0])))
+            return made, F.size(made) > 0, False
+        found = F.filter(col, lambda x: kept(x))
+        return F.transform(found, lambda x: judged(x)[0]), F.size(found) > 0, False
 
     def _leaf_list(self, name: str, col: Column, dtype: T.ArrayType, going: list, only_not: bool) -> tuple[Column | None, Column | None, bool]:
-        def test(x: Column) -> tuple[Column | None, Column | None]:
-            shown, hidden, _ = self._match(name, going, Frame({}, {}, field_value(x, dtype.elementType), self.compat))
+        def own(x: Column) -> Frame:
+            return Frame({}, {}, field_value(x, dtype.elementType), self.compat)
+
+        places = self._places(name, col, going, lambda node: lambda e: holds(condition(node, own(e["x"]))))
+
+        def test(x: Column, i: Column | None = None) -> tuple[Column | None, Column | None]:
+            placed = {k: F.lit(True) if i is None else F.array_contains(p, i) for k, p in places.items()}
+            shown, hidden, _ = self._match(name, going, own(x), placed)
             return shown, hidden
 
+        def filtered(which: int, keep: bool) -> Column:
+            passes = (lambda c: holds(c)) if keep else (lambda c: ~holds(c))
+            return F.filter(col, (lambda x, i: passes(test(x, i)[which])) if places else (lambda x: passes(test(x)[which])))
+
         shown, hidden = test(F.col("__probe"))
         if only_not:
-            return (col, None, True) if hidden is None else (F.filter(col, lambda x: ~holds(test(x)[1])), None, False)
+            return (col, None, True) if hidden is None else (filtered(1, False), None, False)
         if shown is None:
             return None, None, False
-        kept = F.filter(col, lambda x: holds(test(x)[0]))
+        kept = filtered(0, True)
         return kept, F.size(kept) > 0, False
 
 

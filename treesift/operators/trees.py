@@ -117,3 +117,29 @@ def xml_document(df: DataFrame, name: str, top: str = "data", keys: Sequence[str
 
     opening, closing = "".join(f"<{p}>" for p in path), "".join(f"</{p}>" for p in reversed(path))
     return edge(opening).unionByName(tree_xml(df, name, keys=keys)).unionByName(edge(closing))
+
+
+def json_document(df: DataFrame, name: str, top: str = "data", pretty: bool = False, indent: int = 2, underscores: bool = False, no_top: bool = False, not_first: bool = False) -> DataFrame:
+    """(line): one JSON document in this order of partitions: the opening of `top`, the rows as the list `name`, the closing.
+
+    `no_top` leaves out the outermost braces, `not_first` puts a comma before all, so that the text goes on one begun
+    elsewhere. The row that no comma precedes is found by a first pass over the rows' numbers alone; the plan must give the same
+    partitions both times, as scans and filters do (else checkpoint it).
+    """
+    spark, path, layout, name_of = df.sparkSession, [p for p in top.split("/") if p], _Layout(pretty, indent), _namer(underscores)
+    colon, outer = ": " if pretty else ":", 0 if no_top else 1
+
+    def edge(text: str) -> DataFrame:
+        return spark.range(1, numPartitions=1).select(F.lit(text).alias("line"))
+
+    heads = [f'"{name_of(p)}"{colon}{{' for p in path] + [f'"{name_of(name)}"{colon}[']
+    opening = (", " if not_first else "") + ("" if no_top else "{") + "".join((layout.line(outer + k) if outer or k else "") + h for k, h in enumerate(heads))
+    closes = ["]"] + ["}"] * len(path)
+    closing = "".join(layout.line(outer + len(path) - k) + c for k, c in enumerate(closes)) + ("" if no_top else layout.line(0) + "}")
+    c, dtype = _wrapped([], df)
+    depth = outer + len(path) + 1
+    text = F.concat(F.lit(layout.line(depth).removeprefix("\n")), _json(c, dtype, depth, layout, name_of))
+    first = df.select(F.monotonically_increasing_id().alias("n")).agg(F.min("n")).first()[0]
+    rows = df.select(text.alias("text"), F.monotonically_increasing_id().alias("n"))
+    lines = rows.select(F.concat(F.when(F.col("n") == F.lit(first), "").otherwise(","), F.col("text")).alias("line"))
+    return edge(opening).unionByName(lines).unionByName(edge(closing.removeprefix("\n")))

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treesift.shipping import ship
-
 
 def csv_field(c: Column, quotes: bool = True) -> Column:
     """A CSV field: quoted if it has a quote, comma or line break, or white space at an end."""
@@ -31,11 +27,25 @@ def csv_header(df: DataFrame, leafs: Sequence[str] = ()) -> str:
     return ",".join(list(leafs) or df.columns)
 
 
+#: Control characters that a full path writes as a backslash and a letter, from `b` for 1 to `z` for 25.
+_LETTERED = {chr(k): chr(ord("a") + k) for k in range(1, 26)}
+
+
+def quoted_value(c: Column) -> Column:
+    """A value between the quotes of a path: quotes and control characters behind a backslash."""
+    text = c.cast("string")
+    plain = F.replace(F.replace(text, F.lit("'"), F.lit("\\'")), F.lit('"'), F.lit('\\"'))
+    full = plain
+    for raw, letter in _LETTERED.items():
+        full = F.replace(full, F.lit(raw), F.lit("\\" + letter))
+    return F.concat(F.lit("'"), F.when(text.rlike("[\\x01-\\x19]"), full).otherwise(plain), F.lit("'"))
+
+
 def fullpath_rows(df: DataFrame, path: str, keys: Sequence[str], slax: bool = False) -> DataFrame:
-    """(line): `/path[key='v']/leaf='x'` for every leaf that is no key."""
+    """(line): `/path[key='v']/leaf='x'` for every leaf that is no key; a missing key is left out, a missing leaf has no line."""
     test = "==" if slax else "="
-    lead = F.concat(F.lit("/" + path), *[F.concat(F.lit(f"[{k}{test}'"), F.col(f"`{k}`").cast("string"), F.lit("']")) for k in keys])
-    leaves = [F.concat(lead, F.lit(f"/{c}='"), F.col(f"`{c}`").cast("string"), F.lit("'")) for c in df.columns if c not in keys]
+    lead = F.concat(F.lit("/" + path), *[F.coalesce(F.concat(F.lit(f"[{k}{test}"), quoted_value(F.col(f"`{k}`")), F.lit("]")), F.lit("")) for k in keys])
+    leaves = [F.concat(lead, F.lit(f"/{c}="), quoted_value(F.col(f"`{c}`"))) for c in df.columns if c not in keys]
     return df.select(F.explode(F.array(*leaves)).alias("line")).where("line is not null")
 
 
@@ -46,43 +56,64 @@ def replay_events(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     return df.select(F.posexplode(F.array(*marks, F.lit(f"] {table}"))).alias("seq", "event"))
 
 
-def _head(major: int, n: int) -> bytes:
-    if n < 24:
-        return bytes([major << 5 | n])
-    for code, form, most in ((24, ">B", 1 << 8), (25, ">H", 1 << 16), (26, ">I", 1 << 32), (27, ">Q", 1 << 64)):
-        if n < most:
-            return bytes([major << 5 | code]) + struct.pack(form, n)
-    raise ValueError("the number is too large")
-
-
-def cbor(x: object) -> bytes:
-    """x in CBOR; maps and arrays have indefinite length."""
-    if x is None:
-        return b"\xf6"
-    if isinstance(x, bool):
-        return b"\xf5" if x else b"\xf4"
-    if isinstance(x, int):
-        return _head(0, x) if x >= 0 else _head(1, -1 - x)
-    if isinstance(x, float):
-        return b"\xfb" + struct.pack(">d", x)
-    if isinstance(x, Mapping):
-        return b"\xbf" + b"".join(cbor(str(k)) + cbor(v) for k, v in x.items()) + b"\xff"
-    if isinstance(x, (list, tuple)):
-        return b"\x9f" + b"".join(map(cbor, x)) + b"\xff"
-    raw = x if isinstance(x, bytes) else str(x).encode()
-    return _head(2 if isinstance(x, bytes) else 3, len(raw)) + raw
+def _hex(n: Column, digits: int) -> Column:
+    return F.lpad(F.hex(n), digits, "0")
+
+
+def _head(major: int, n: Column) -> Column:
+    """The hexadecimal head of a CBOR item: its kind and a number, in as few bytes as it needs."""
+    first = major << 5
+    sizes = [(1 << 8, 24, 2), (1 << 16, 25, 4), (1 << 32, 26, 8)]
+    made = F.when(n < 24, _hex(F.lit(first) + n, 2))
+    for most, code, digits in sizes:
+        made = made.when(n < most, F.concat(F.lit(f"{first | code:02X}"), _hex(n, digits)))
+    return made.otherwise(F.concat(F.lit(f"{first | 27:02X}"), _hex(n, 16)))
+
+
+def _double_bits(x: Column) -> Column:
+    """A double's 64 bits in hexadecimal, by arithmetic that powers of two keep exact."""
+    a = F.abs(x)
+    rough = F.floor(F.log2(F.when((a > 0) & (a < float("inf")), a).otherwise(1.0))).cast("int")
+    power = F.greatest(rough - F.when(a < F.pow(F.lit(2.0), rough), 1).otherwise(0) + F.when((rough < 1023) & (a >= F.pow(F.lit(2.0), rough + 1)), 1).otherwise(0), F.lit(-1023))
+    normal = F.shiftleft((power + 1023).cast("bigint"), 52) + ((a * F.pow(F.lit(2.0), -power) - 1) * 2.0**52).try_cast("bigint")
+    tiny = (a * 2.0**537 * 2.0**537).try_cast("bigint")
+    bits = F.when(a == 0, F.lit(0).cast("bigint")).when(power < -1022, tiny).otherwise(normal)
+    signed = F.when(F.startswith(x.cast("string"), F.lit("-")), bits.bitwiseOR(F.lit(-(2**63)))).otherwise(bits)
+    special = F.when(F.isnan(x), "7FF8000000000000").when(x == float("inf"), "7FF0000000000000").when(x == float("-inf"), "FFF0000000000000")
+    return F.coalesce(special, _hex(signed, 16))
+
+
+def _cbor_text(c: Column) -> Column:
+    return F.concat(_head(3, F.octet_length(c).cast("bigint")), F.hex(c))
+
+
+def cbor_hex(c: Column, dtype: T.DataType) -> Column:
+    """A value as CBOR in hexadecimal; maps and arrays have indefinite length, null is CBOR's own."""
+    if isinstance(dtype, T.BooleanType):
+        made = F.when(c, "F5").otherwise("F4")
+    elif isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        n = c.cast("bigint")
+        made = F.when(n >= 0, _head(0, n)).otherwise(_head(1, F.bitwise_not(n)))
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        made = F.concat(F.lit("FB"), _double_bits(c.cast("double")))
+    elif isinstance(dtype, T.StructType):
+        made = F.concat(F.lit("BF"), *[F.concat(_cbor_text(F.lit(f.name)), cbor_hex(c[f.name], f.dataType)) for f in dtype.fields], F.lit("FF"))
+    elif isinstance(dtype, T.ArrayType):
+        made = F.concat(F.lit("9F"), F.array_join(F.transform(c, lambda x: cbor_hex(x, dtype.elementType)), ""), F.lit("FF"))
+    elif isinstance(dtype, T.MapType):
+        pairs = F.transform(F.map_entries(c), lambda e: F.concat(_cbor_text(e["key"].cast("string")), cbor_hex(e["value"], dtype.valueType)))
+        made = F.concat(F.lit("BF"), F.array_join(pairs, ""), F.lit("FF"))
+    elif isinstance(dtype, T.BinaryType):
+        made = F.concat(_head(2, F.octet_length(c).cast("bigint")), F.hex(c))
+    else:
+        made = _cbor_text(c.cast("string"))
+    return F.coalesce(F.when(c.isNotNull(), made), F.lit("F6"))
 
 
 def cbor_records(df: DataFrame) -> DataFrame:
-    """(record): each row as a CBOR map; in Arrow batches, as no built-in function writes CBOR."""
-
-    ship(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([cbor(r) for r in b.to_pylist()], pa.binary())], names=["record"])
-
-    return df.mapInArrow(run, "record binary")
+    """(record): each row as a CBOR map; texts that are no other kind's, such as dates, are text."""
+    whole = F.struct(*[F.col(f"`{n}`") for n in df.columns])
+    return df.select(F.unhex(cbor_hex(whole, df.schema)).alias("record"))
 
 
 def read_name_map(text: str) -> dict[str, str]:
@@ -161,14 +192,11 @@ def fullpath_encoded(df: DataFrame, table: str, keys: Sequence[str], options: Se
         raise ValueError(f"unknown options of fullpath: {sorted(unknown)}")
     test = "==" if "slax" in options else "="
 
-    def value(c: Column) -> Column:
-        return F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("\\'")), F.lit("'"))
-
     def leaves(lead: Column, dtype: T.StructType, get: Callable[[str], Column]) -> Column:
         """An array of the lines below a node."""
         for k in keys:
             if k in dtype.names and not isinstance(dtype[k].dataType, (T.StructType, T.ArrayType)):
-                lead = F.concat(lead, F.coalesce(F.concat(F.lit(f"[{k}{test}"), value(get(k)), F.lit("]")), F.lit("")))
+                lead = F.concat(lead, F.coalesce(F.concat(F.lit(f"[{k}{test}"), quoted_value(get(k)), F.lit("]")), F.lit("")))
         parts = [F.array().cast("array<string>")]
         for f in dtype.fields:
             if f.name.startswith("_") or f.name in keys:
@@ -182,14 +210,14 @@ def fullpath_encoded(df: DataFrame, table: str, keys: Sequence[str], options: Se
             elif isinstance(f.dataType, T.ArrayType):
                 parts.append(F.transform(c, bare(here)))
             else:
-                parts.append(F.array(F.concat(here, F.lit("="), value(c))))
+                parts.append(F.array(F.concat(here, F.lit("="), quoted_value(c))))
         return F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])
 
     def below(lead: Column, dtype: T.StructType) -> Callable[[Column], Column]:
         return lambda x: leaves(lead, dtype, x.getField)
 
     def bare(lead: Column) -> Callable[[Column], Column]:
-        return lambda x: F.concat(lead, F.lit("="), value(x))
+        return lambda x: F.concat(lead, F.lit("="), quoted_value(x))
 
     lines = leaves(F.lit(f"/{table}"), df.schema, lambda n: F.col(f"`{n}`"))
     return df.select(F.explode(F.array_compact(lines)).alias("line"))
