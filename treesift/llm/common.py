@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from types import ModuleType
 
@@ -26,7 +28,7 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a local one that becomes it."""
+    """A new folder below spark.checkpoint.dir; only where that is unset and all runs on one machine (tests), below a local one that becomes it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = _local_checkpoint_dir(spark)
@@ -36,25 +38,42 @@ def shared_dir(spark: SparkSession) -> str:
 def _local_checkpoint_dir(spark: SparkSession) -> str:
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = f"file://{tempfile.mkdtemp(prefix='treesift-ckpt-')}"
         spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session with one setting, which it gets back as it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the reliable checkpoint folder, so a lost executor costs no recomputation of its lineage."""
+    """df computed once and kept in the reliable checkpoint folder, so a lost executor costs no recomputation of its lineage; the shuffle files that made it are removed at once."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         _local_checkpoint_dir(spark)
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return df.toDF(*df.columns).checkpoint(eager=True)  # a DataFrame has the setting of the time when it was made
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package (once for each application) and bound the Arrow batches by bytes."""
+    """Give the executors this package (once for each application) and bound the Arrow batches by bytes, unless the session has a bound of its own."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != str(BATCH_BYTES):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
