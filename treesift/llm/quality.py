@@ -1,14 +1,17 @@
 """Quality rules, line first: each line is judged on its own, failing lines go, and a document that loses too much text is rejected.
 
 A line without a word is neutral. Else it fails, by the first of these that applies:
-- navigation: at least two separators (`|`, `»`, `›`, `·`, `•` or `>` as words of their own), and at most NAV_WORDS words between two on average;
-- punctuation: at least SYMBOL_SHARE of its words end in one of `#*$%&|<>`, or it has fewer than MIN_LINE_WORDS words and no sentence mark;
-- boilerplate: it holds a phrase of BOILERPLATE (any case) and is shorter than BOILERPLATE_CHARS.
+- navigation: at least two separators (`|`, `»`, `›`, `·`, `•` or `>` as words of their own), and at most NAV_WORDS words
+  between two on average; or a menu: MENU_WORDS or more words, all with a capital or digit first, and no sentence mark;
+- punctuation: at least SYMBOL_SHARE of its words end in one of `#*$%&|<>`, or it has no sentence mark and
+  either fewer than MIN_LINE_WORDS words or no end that may be one of a sentence, such as a colon;
+- boilerplate: it holds a phrase of BOILERPLATE (any case, in four languages) and is shorter than BOILERPLATE_CHARS. Lines
+  that many documents share are the line dedup's task.
 A document is rejected if the failing lines hold more than MAX_LOSS of its word characters, or if base rules fail: fewer
 than 10 words, or over 20 % of its words in repeated 5-word windows.
 
-Null and empty texts have no words, so they fail the base rules. Repeated rows are judged alike. Texts are handled
-whole; a very long one is a chunk of its own.
+Null and empty texts have no words, so they fail the base rules. Repeated rows are judged alike. A document that loses
+exactly MAX_LOSS stays. Texts are handled whole; a very long one is a chunk of its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,19 +25,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treesift.llm.common import by_row, chunks, compact, id_field, ship
+from treesift.llm.common import by_row, chunks, compact, id_field, ship, worker_cache
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 NAV_SEPARATORS = frozenset(["|", "»", "›", "·", "•", ">"])
-NAV_WORDS = 4
+NAV_WORDS, MENU_WORDS = 4, 4
 SYMBOL_SHARE = 0.3
 MIN_LINE_WORDS = 3
 MAX_LOSS = 0.3
-BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "accept cookies", "enable javascript", "click here", "sign up for our newsletter", "subscribe to our", "lorem ipsum", "back to top", "skip to content", "powered by")
+#: Phrases of site furniture, by language.
+BOILERPLATE = {
+    "en": ("all rights reserved", "terms of use", "terms of service", "terms and conditions", "privacy policy", "cookie policy", "we use cookies", "uses cookies", "accept cookies", "cookie settings", "enable javascript", "click here", "read more", "sign up for our newsletter", "subscribe to our", "lorem ipsum", "back to top", "skip to content", "powered by", "follow us on", "share this", "leave a comment", "log in to", "forgot your password", "page not found"),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "impressum", "nutzungsbedingungen", "allgemeine geschäftsbedingungen", "cookie-einstellungen", "verwendet cookies", "verwenden cookies", "cookies akzeptieren", "hier klicken", "klicken sie hier", "weiterlesen", "zum newsletter anmelden", "newsletter abonnieren", "nach oben", "zum inhalt springen", "passwort vergessen", "folgen sie uns", "jetzt anmelden", "javascript aktivieren"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "conditions générales", "gestion des cookies", "utilise des cookies", "utilisons des cookies", "accepter les cookies", "cliquez ici", "lire la suite", "en savoir plus", "abonnez-vous à", "inscrivez-vous à", "retour en haut", "aller au contenu", "mot de passe oublié", "suivez-nous", "partager cet article", "activer javascript"),
+    "es": ("todos los derechos reservados", "política de privacidad", "aviso legal", "términos de uso", "condiciones de uso", "términos y condiciones", "política de cookies", "utiliza cookies", "utilizamos cookies", "aceptar cookies", "haga clic aquí", "haz clic aquí", "leer más", "suscríbete a", "suscríbase a", "volver arriba", "saltar al contenido", "olvidaste tu contraseña", "síguenos en", "habilitar javascript"),
+}
 BOILERPLATE_CHARS = 300
 _MARKS = re.compile(r"[.!?…。！？]")
-_PHRASES = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I)
+#: What a sentence may end in, and what may come behind it.
+_ENDS = (".", "!", "?", "…", ":", ";", "。", "！", "？", "؟", "।")
+_CLOSERS = " \t\n\x0b\x0c\r\"'”’»)]}*_"
 _SYMBOL_ENDS = ("#", "*", "$", "%", "&", "|", "<", ">")
+_SUSPECT = re.compile(r"[#*$%&|<>»›·•]")
 _BLANK = " \t\n\x0b\x0c\r"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,6 +59,28 @@ _LETTER = ~_SPACE
 _LETTER[0x80:0xC0] = False
 
 
+def _phrases():
+    """The automaton of all phrases, made once for each worker."""
+    held = worker_cache()
+    if "boilerplate" not in held:
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for phrase in sorted({p for phrases in BOILERPLATE.values() for p in phrases}):
+            made.add_word(phrase, phrase)
+        made.make_automaton()
+        held["boilerplate"] = made
+    return held["boilerplate"]
+
+
+def has_phrase(text: str) -> bool:
+    return next(_phrases().iter(text.lower()), None) is not None
+
+
+def ends_well(line: str) -> bool:
+    return line.rstrip(_CLOSERS).endswith(_ENDS)
+
+
 def line_failure(line: str) -> str | None:
     """The rule that a line fails: navigation, punctuation, boilerplate, or None."""
     words = _WORD.findall(line)
@@ -56,14 +90,12 @@ def line_failure(line: str) -> str | None:
     separators = sum(w in NAV_SEPARATORS for w in words)
     if separators >= 2 and (n - separators) <= NAV_WORDS * (separators + 1):
         return "navigation"
-    if sum(w.endswith(_SYMBOL_ENDS) for w in words) >= SYMBOL_SHARE * n or (n < MIN_LINE_WORDS and not _MARKS.search(line)):
+    marked = _MARKS.search(line)
+    if n >= MENU_WORDS and not marked and all(w[0].isupper() or w[0].isdigit() for w in words):
+        return "navigation"
+    if sum(w.endswith(_SYMBOL_ENDS) for w in words) >= SYMBOL_SHARE * n or (not marked and (n < MIN_LINE_WORDS or not ends_well(line))):
         return "punctuation"
-    if len(line) < BOILERPLATE_CHARS and _PHRASES.search(line):
-        return "boilerplate"
-    return None
-
-
-_SUSPECT = re.compile(r"[#*$%&|<>»›·•]|(?i:all rights|terms of|policy|cookies|javascript|click here|newsletter|subscribe|lorem|back to|skip to|powered by)")
+    return "boilerplate" if len(line) < BOILERPLATE_CHARS and has_phrase(line) else None
 
 
 def judge_lines(text: str) -> tuple[int, int, str]:
@@ -71,7 +103,8 @@ def judge_lines(text: str) -> tuple[int, int, str]:
     lines = text.split("\n")
     filled = [x for x in lines if x.strip(_BLANK)]
     duplicates = len(filled) - len(set(filled))
-    suspect = bool(_SUSPECT.search(text))
+    # without a symbol or phrase anywhere, only a line without a sentence mark can fail
+    suspect = bool(_SUSPECT.search(text)) or has_phrase(text)
     failing = [k for k, x in enumerate(lines) if (suspect or not _MARKS.search(x)) and line_failure(x)]
     if not failing:
         return duplicates, 0, text
