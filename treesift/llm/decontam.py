@@ -13,8 +13,8 @@ for each document and item, each once.
 Documents' hashes are probed as they are generated, against the sketch as a broadcast table while it has at most
 BROADCAST_ROWS rows; beyond that both sides are shuffled by hash. The items' shingles go to the candidates' windows by
 broadcast while the items' texts have at most BROADCAST_BYTES, else by hash as well. No join is by item, so one that
-very many documents hold is spread over its shingles, and counts are summed before they are shuffled. Long documents are
-cut into pieces of PIECE words that overlap by a window, so no row holds all windows of one.
+very many documents hold is spread over its shingles, and counts are summed before they are shuffled. A document's hashes
+take eight bytes a word; where strings are made, long documents are cut into pieces of PIECE words that overlap by a window.
 
 Items with fewer than five words are one shingle of all their words, sought among the document windows of that length.
 Null or wordless texts hold nothing and are held by nothing. Items are told apart by their words, so repeated items, and
@@ -24,6 +24,8 @@ shingles shared. Rows without an id are named by no result row. Empty tables giv
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,36 +41,43 @@ PIECE = 1 << 16
 
 
 def words_of(c: Column) -> Column:
-    """The words of a text, lower-cased; empty for null."""
-    low = F.btrim(F.lower(F.coalesce(c.cast("string"), F.lit(""))), F.lit(" \t\n\x0b\f\r"))
-    return F.when(low == "", F.array().cast("array<string>")).otherwise(F.split(low, "[\\x20\\x09-\\x0D]+", -1))
+    """The words of a text, lower-cased; one empty word for null or a text without words."""
+    low = F.lower(F.coalesce(c.cast("string"), F.lit("")))
+    return F.split(F.btrim(low, F.lit(" \t\n\x0b\f\r")), "[\\x20\\x09-\\x0D]+", -1)
 
 
 def _windows(words: str, width: int, make: str, kind: str) -> str:
-    """SQL for the array of `make`, an expression over the words {w} of each window of `width`; empty if there are too few words."""
+    """SQL for the array of `make`, an expression over the words {w} of each window of `width`, named {k} where it isn't WIDTH; empty if there are too few words."""
     parts = ", ".join(f"{words}[i + {k}]" for k in range(width))
-    return f"if(size({words}) >= {width}, transform(sequence(0, size({words}) - {width}), i -> {make.format(w=parts)}), cast(array() as array<{kind}>))"
+    named = "" if width == WIDTH else f"{width}, "  # windows of other widths don't share hashes
+    return f"if(size({words}) >= {width} and {words}[0] != '', transform(sequence(0, size({words}) - {width}), i -> {make.format(w=parts, k=named)}), cast(array() as array<{kind}>))"
 
 
 def _hashes(words: str, width: int) -> str:
-    return _windows(words, width, f"xxhash64({width}, {{w}})", "bigint")
+    return _windows(words, width, "xxhash64({k}{w})", "bigint")
 
 
 def _shingles(words: str, width: int) -> str:
-    return _windows(words, width, f"struct(xxhash64({width}, {{w}}) as hash, concat_ws(' ', {{w}}) as shingle)", "struct<hash: bigint, shingle: string>")
+    return _windows(words, width, "struct(xxhash64({k}{w}) as hash, concat_ws(' ', {w}) as shingle)", "struct<hash: bigint, shingle: string>")
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """docs(..., text) with w, the words of each piece, and n_words of the whole text, in place of text."""
+    """docs(..., text) with the words of each piece, w, in place of text."""
     others = [c for c in docs.columns if c != "text"]
-    cut = docs.select(*others, words_of(F.col("text")).alias("all")).where("size(all) > 0").withColumn("n_words", F.size("all"))
-    parts = F.expr(f"if(n_words <= {PIECE}, array(all), transform(sequence(0, n_words - 1, {PIECE}), a -> slice(all, a + 1, {PIECE + WIDTH - 1})))")
-    return cut.select(*others, "n_words", F.explode(parts).alias("w"))
+    cut = docs.select(*others, words_of(F.col("text")).alias("all"))
+    parts = F.expr(f"if(size(all) <= {PIECE}, array(all), transform(sequence(0, size(all) - 1, {PIECE}), a -> slice(all, a + 1, {PIECE + WIDTH - 1})))")
+    return cut.select(*others, F.explode(parts).alias("w"))
+
+
+def _all(make: Callable[[str, int], str], widths: list[int]) -> str:
+    """SQL for the windows of all widths in one array."""
+    every = [make("w", k) for k in widths or [WIDTH]]
+    return every[0] if len(every) == 1 else f"concat({', '.join(every)})"
 
 
 def item_units(items: DataFrame, threshold: float) -> DataFrame:
     """(u, width, n, need, shingles) of each distinct text of items(text) that has words; u names it by its words."""
-    units = items.select(words_of(F.col("text")).alias("w")).where("size(w) > 0").select(F.md5(F.array_join("w", " ")).alias("u"), "w").dropDuplicates(["u"])
+    units = items.select(words_of(F.col("text")).alias("w")).where("w[0] != ''").select(F.md5(F.array_join("w", " ")).alias("u"), "w").dropDuplicates(["u"])
     sized = units.withColumn("width", F.least(F.lit(WIDTH), F.size("w")))
     sets = [f"array_distinct({_shingles('w', k)})" for k in range(1, WIDTH + 1)]
     made = sized.withColumn("shingles", F.expr("case width " + " ".join(f"when {k} then {e}" for k, e in enumerate(sets, 1)) + " end")).withColumn("n", F.size("shingles"))
@@ -90,14 +99,13 @@ def _held(docs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     sketch = checkpointed(sketches(units))
     widths = [r.width for r in units.select("width").distinct().orderBy("width").collect()]  # 1 to 5
     probe = _sent(sketch.select("u", "least", F.col("hash").alias("i_hash")), sketch.count())
-    every = F.expr(f"array_distinct(concat({', '.join(_hashes('w', k) for k in widths or [WIDTH])}))")
-    each = _pieces(docs).select("doc", "txt", "n_words", F.explode(every).alias("hash"))
+    words = docs.select("doc", "txt", words_of(F.col("text")).alias("w"))
+    each = words.select("doc", "txt", F.size("w").alias("n_words"), F.explode(F.expr(f"array_distinct({_all(_hashes, widths)})")).alias("hash"))
     found = each.join(probe, (F.col("hash") == F.col("i_hash")) & (F.col("least") <= F.col("n_words"))).select(F.col("doc").alias("c_doc"), F.col("txt").alias("c_txt"))
     candidates = checkpointed(found.distinct())
     named = F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("txt") == F.col("c_txt"))
     near = _pieces(docs.join(_sent(candidates, candidates.count()), named, "left_semi"))
-    strings = F.expr(f"concat({', '.join(_shingles('w', k) for k in widths or [WIDTH])})")
-    windows = near.select("doc", "txt", F.explode(strings).alias("x")).select("doc", "txt", "x.hash", "x.shingle")
+    windows = near.select("doc", "txt", F.explode(F.expr(_all(_shingles, widths))).alias("x")).select("doc", "txt", "x.hash", "x.shingle")
     own = units.select("u", "n", "need", F.posexplode("shingles").alias("k", "s")).select("u", "n", "need", "k", F.col("s.hash").alias("i_hash"), F.col("s.shingle").alias("i_shingle"))
     size = units.agg(F.coalesce(F.sum(F.expr("aggregate(shingles, 0L, (a, s) -> a + octet_length(s.shingle))")), F.lit(0))).first()[0]
     own = F.broadcast(own) if size <= WIDTH * BROADCAST_BYTES else own
