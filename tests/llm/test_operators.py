@@ -172,9 +172,10 @@ def brute_line_dedup(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 8])
-def test_line_dedup(spark, docs, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "size"), [(1, 0), (8, 16 << 20)])
+def test_line_dedup(spark, docs, monkeypatch, hot, size):
     monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", size)
     monkeypatch.setattr(line_dedup, "SAMPLE", 1.0)
     got = plain(line_dedup.dedup_lines(docs), "doc_id", "n_lines", "n_dropped", "kept")
     assert keyed(got) == keyed(brute_line_dedup(plain(docs, "doc_id", "text")))
@@ -188,6 +189,21 @@ def test_line_dedup_many_lines(spark):
     rows = [(1, "\n".join(f"the line number {k}" for k in range(300))), (2, "\n".join(f"the line number {3 * k}" for k in range(300)))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert keyed(plain(line_dedup.dedup_lines(df), "doc_id", "n_lines", "n_dropped", "kept")) == keyed(brute_line_dedup(rows))
+    keep = {r.doc_id: r.keep for r in line_dedup.dedup_lines(df).collect()}
+    assert keep[1] is None  # bits are set for lines that stay
+    gone = [k for w in keep[2] for k in range(w.word * 64, w.word * 64 + 64) if not w.bits >> (k % 64) & 1]
+    assert gone == list(range(100)) and [w.word for w in keep[2]] == [0, 1]
+
+
+@pytest.mark.parametrize("small", [0, 10**9])
+def test_components(spark, monkeypatch, small):
+    from treesift.llm import components
+
+    monkeypatch.setattr(components, "SMALL", small)
+    monkeypatch.setattr(components, "HUBS", 8)
+    edges = [(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(25)] + [(300, 301), (301, 302), (302, 300), (7, 7)]
+    got = dict(plain(components.components(spark.createDataFrame(edges, "u long, v long")), "node", "component"))
+    assert got == {k: 0 for k in range(1, 60)} | {k: 100 for k in range(101, 126)} | {301: 300, 302: 300}
 
 
 def test_token_files(spark, docs):
@@ -271,8 +287,16 @@ def test_permutation(n):
 
 def test_permutation_in_sql(spark):
     for n in (5, 1000):
-        got = spark.range(n).select("id", feistel_shards.permuted("id", n).alias("p")).collect()
-        assert {r.id: r.p for r in got} == {k: feistel_shards.permute(k, n) for k in range(n)}
+        got = feistel_shards.with_places(spark.range(n), "id", n).collect()
+        assert {r.id: r["__p"] for r in got} == {k: feistel_shards.permute(k, n) for k in range(n)}
+
+
+def test_walks_end():
+    for n in (2, 5, 90, 1009, 123_457):
+        values, ends = feistel_shards.exits(n)
+        assert len(values) <= n**0.5 + 1
+        for v, e in zip(values.tolist()[:200], ends.tolist(), strict=False):
+            assert feistel_shards.permute(v, n) == e < n
 
 
 def brute_quality(t):
@@ -298,11 +322,30 @@ def test_quality(spark, docs):
     assert quality.quality(empty(docs)).count() == 0
 
 
-def test_quality_lines():
-    assert quality.line_failure("Home | About us | Contact | Imprint") == "navigation"
-    assert quality.line_failure("word%%% and*** more$$$ junk### here.") == "punctuation"
-    assert quality.line_failure("We use cookies to improve this site.") == "boilerplate"
-    assert quality.line_failure("This is a plain sentence, with a | in it.") is None
+@pytest.mark.parametrize(
+    ("line", "rule"),
+    [
+        ("Home | About us | Contact | Imprint", "navigation"),
+        ("Home About Products Services Contact Login Register", "navigation"),
+        ("word%%% and*** more$$$ junk### here.", "punctuation"),
+        ("a long line of many words that never comes to any end of its own", "punctuation"),
+        ("Two words", "punctuation"),
+        ("We use cookies to improve this site.", "boilerplate"),
+        ("Alle Rechte vorbehalten. Datenschutzerklärung und Impressum hier.", "boilerplate"),
+        ("Ce site UTILISE DES COOKIES pour son bon fonctionnement.", "boilerplate"),
+        ("Todos los derechos reservados, 2020.", "boilerplate"),
+        ("This is a plain sentence, with a | in it.", None),
+        ("He said: “It ends well.”", None),
+        ("The list has three parts:", None),
+        ("日本語の文です。", None),
+        ("No.", None),
+        (" \t", None),
+        ("click here " + "and then many more words follow " * 20 + "to the end.", None),
+    ],
+)
+def test_quality_lines(line, rule):
+    assert quality.line_failure(line) == rule
+    assert quality.judge_lines(f"A clean line comes first.\n{line}")[2] == ("A clean line comes first." if rule else f"A clean line comes first.\n{line}")
 
 
 def brute_components(fps):
@@ -511,17 +554,34 @@ def test_unigram_query(spark, docs):
 
 
 def test_urls(spark):
-    rows = [(1, "https://A.example.org/es/x"), (2, "http://example.org/en/1"), (3, "http://other.com/fr/a?b"), (4, "http://x.com/de/"), (5, None), (6, "no scheme xxx"), (7, "http://site.net/casino-poker"), (8, "http://site.net/casinos"), (9, "http://site.net/adult"), (10, "ftp://org"), (11, ""), (1, "https://A.example.org/es/x")]
-    df = spark.createDataFrame(rows, "page_id long, url string")
+    rows = [(1, "https://A.example.org/es/x"), (2, "http://example.org/en/1"), (3, "http://other.com/fr/a?b"), (4, "http://x.com/de/"), (5, None), (6, "no scheme xxx"), (7, "http://site.net/casino-poker"), (8, "http://site.net/casinos-pokers"), (9, "http://site.net/adult"), (10, "ftp://org"), (11, ""), (1, "https://A.example.org/es/x"), (12, "http://site.net/adult/adult"), (13, "http://site.net/" + "a/" * 50_000 + "Porn"), (None, "http://com/fr/")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, host string, rule string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(df).collect()}
     assert got[1] == ("a.example.org", "/es/x", "example.org/es/", "block")
     assert got[2][2:] == ("example.org/en/1", "block")
     assert got[3] == ("other.com", "/fr/a", "com/fr/", "allow")
     assert got[4][2:] == ("com/de/", "block")
     assert got[5] == ("", "", None, "allow")
-    assert [got[k][3] for k in (6, 7, 8, 9, 10, 11)] == ["block", "block", "allow", "allow", "allow", "allow"]
-    assert got[10][:3] == ("org", "", None)
+    assert [got[k][3] for k in (6, 7, 8, 9, 10, 11, 12, 13)] == ["block", "block", "allow", "allow", "allow", "allow", "allow", "block"]
+    assert got[10][:3] == ("org", "", None) and got[None][2] == "com/fr/"
     assert url_filter.url_verdicts(df.where("false")).count() == 0
+    own = {r.page_id: r.verdict for r in url_filter.url_verdicts(df, rules=(), terms=(("adult", False, 0.2), ("site", False, 0.8))).collect()}
+    assert (own[9], own[8], own[6]) == ("block", "allow", "allow")
+
+
+def test_url_terms():
+    strict = {t for t, is_strict, _ in url_filter.TERMS if is_strict}
+    assert len(strict) >= 50 and len(url_filter.TERMS) >= 100
+    assert url_filter.read_terms("# x\na\tsoft\t0.5\n\nb\tstrict\t1\n") == (("a", False, 0.5), ("b", True, 1.0))
+    for bad in ("a\tsoft", "a\tother\t1", "a\tsoft\t1\na\tsoft\t1", "A\tsoft\t1", "a\tsoft\tx"):
+        with pytest.raises(ValueError):
+            url_filter.read_terms(bad)
+    # urls of either kind made for the purpose: what is caught, and what is left alone
+    bad_urls = [f"http://{a}-{b}.net/{c}" for a in ("free", "best") for b in ("porn", "xvideos", "keygen", "hentai") for c in ("", "a/b")] + ["http://x.net/online-casino/poker", "http://x.net/payday/loans?x", "http://hot.net/nude-webcams"]
+    good_urls = ["http://essex.ac.uk/middlesex", "http://x.net/cracker-recipes", "http://x.net/adult-education", "http://x.net/scunthorpe/therapist", "http://x.net/classic/cocktails", "http://x.net/dating-rocks", "http://pornic.fr/ville", "http://x.net/poker-face-album"]
+    words = url_filter.Vocabulary(url_filter.TERMS)
+    blocked = [words.hits(u)[0] > 0 or words.hits(u)[2] >= 1 for u in bad_urls + good_urls]
+    assert blocked == [True] * len(bad_urls) + [False] * len(good_urls)
 
 
 def brute_contained(docs, items):

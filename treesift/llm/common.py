@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one vectorised step handles at a time, in bytes.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Text that Spark puts in one Arrow batch at most, in bytes.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
 
@@ -79,7 +79,7 @@ def ship(spark: SparkSession) -> None:
         return
     to = Path(tempfile.mkdtemp(prefix="treesift-")) / "treesift_pkg.zip"
     with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
+        for p in sorted(q for q in _PACKAGE.rglob("*") if q.suffix in (".py", ".tsv")):
             z.write(p, f"{_PACKAGE.name}/{p.relative_to(_PACKAGE)}")
     sc.addPyFile(str(to))
     _shipped.add(sc.applicationId)
@@ -120,6 +120,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             last = max(first + 1, int(np.searchsorted(size, done + most, side="right")))
             yield b.slice(first, last - first)
             first = last
+        pa.default_memory_pool().release_unused()
 
 
 def compact(a: pa.Array) -> pa.Array:
