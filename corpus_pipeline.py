@@ -1,7 +1,9 @@
 """A training corpus from `documents`, in five stages; each calls one operator of treesift.llm.
 
 Every stage function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns that docs
-has, with `text` as the stage leaves it and `n_chars`, where there is one, to match.
+has, with `text` as the stage leaves it and `n_chars`, where there is one, to match. Null texts fail the quality rules and
+go first; repeated rows are judged alike, and of those with equal texts the near-duplicate stage keeps one. An empty table
+passes every stage as one.
 """
 
 from __future__ import annotations
@@ -33,12 +35,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates, linked at a similarity of 0.8 or more of 5-word shingles, the document with the smallest doc_id stays; rows without an id stay."""
     return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; of several texts under one id each is judged by itself."""
     return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -55,7 +57,7 @@ STAGES = [
     ("sentencepiece_encoding", encoding_stage),
 ]
 
-#: SQL can't express fingerprints, components and the Viterbi search; tests compare with a brute-force version.
+#: SQL can't express fingerprints, components and the Viterbi search; tests/llm/test_pipeline.py compares each stage, and all of them, with brute force.
 ORACLE_SQL = None
 
 
