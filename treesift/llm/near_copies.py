@@ -167,16 +167,20 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: flo
 
 
 def linked(sets: DataFrame, rows: DataFrame, texts: DataFrame, proposed: DataFrame, threshold: float) -> DataFrame:
-    """(node, component) of the sets of more than one to a component, without the components' smallest nodes."""
-    keyed = rows.select("sid", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select(F.col("key").alias("s_key"))
-    met = checkpointed(keyed.join(shared, F.col("key") == F.col("s_key")).select("key", "sid").distinct())
+    """(node, component) of the sets of more than one to a component, without the components' smallest nodes.
+
+    Tables that others are joined with by key are checkpointed first: then both sides of the join are plain exchanges, of
+    which Spark splits a key's that many sets have.
+    """
+    keyed = checkpointed(rows.groupBy("sid").agg(F.first("keys").alias("keys"))).select("sid", F.explode("keys").alias("key"))
+    shared = checkpointed(keyed.groupBy("key").count().where("count > 1").select(F.col("key").alias("s_key")))
+    met = checkpointed(keyed.join(shared, F.col("key") == F.col("s_key")).select("key", "sid"))
 
     own = Window.partitionBy("sid")
     placed = met.join(sets.select(F.col("sid").alias("n_sid"), "n"), F.col("sid") == F.col("n_sid")).withColumn("place", F.row_number().over(own.orderBy("key"))).withColumn("share", F.count(F.lit(1)).over(own) / F.col("n"))
     few = checkpointed(placed.where(f"place <= {LED}").select("key", "sid", "share"))
     drawn, central = F.min(F.struct(F.xxhash64("key", "sid"), "sid")), F.max(F.struct("share", "sid"))
-    leads = few.groupBy("key").agg(F.array(drawn["sid"], central["sid"]).alias("leads")).select(F.col("key").alias("l_key"), "leads")
+    leads = checkpointed(few.groupBy("key").agg(F.array(drawn["sid"], central["sid"]).alias("leads")).select(F.col("key").alias("l_key"), "leads"))
     led = few.join(leads, F.col("key") == F.col("l_key")).select("sid", F.explode(F.array_distinct("leads")).alias("lead")).where("sid != lead").select(F.least("sid", "lead").alias("u"), F.greatest("sid", "lead").alias("v"))
     tried = led.unionByName(proposed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
     known = ("sid", "n", "bits", "wide")
@@ -186,7 +190,8 @@ def linked(sets: DataFrame, rows: DataFrame, texts: DataFrame, proposed: DataFra
     first = components(edges)
     named = met.join(first, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("component", "sid").alias("of"))
     by_key = named.groupBy("key", "of").count().groupBy("key").agg(F.max(F.struct("count", "of")).alias("m"), F.count(F.lit(1)).alias("n_of")).where("n_of > 1")
-    mixed = named.join(by_key.select(F.col("key").alias("m_key"), F.col("m.of").alias("major")), F.col("key") == F.col("m_key")).select("key", F.col("sid").alias("s"), "of", "major")
+    by_key = checkpointed(by_key.select(F.col("key").alias("m_key"), F.col("m.of").alias("major")))
+    mixed = named.join(by_key, F.col("key") == F.col("m_key")).select("key", F.col("sid").alias("s"), "of", "major")
     mixed = checkpointed(mixed.join(sets.select(*known), F.col("s") == F.col("sid")).select("key", "of", "major", *known))
     a, b = _side(mixed.where("of != major"), "a", ("key", "of", *known)), _side(mixed, "b", ("key", "of", *known))
     # the tests are part of the join: what fails them is never a row
@@ -208,5 +213,5 @@ def near_copies(df: DataFrame, propose: Callable[[DataFrame], DataFrame], id_col
     named = linked(sets, rows, texts, propose(sets), threshold)
     grouped = sets.join(named, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "sid").alias("of"))
     least = grouped.groupBy("of").agg(F.min("rep").alias("least")).withColumnRenamed("of", "l_of")
-    by_set = grouped.join(least, F.col("of") == F.col("l_of")).select(F.col("sid").alias("k"), "least")
+    by_set = checkpointed(grouped.join(least, F.col("of") == F.col("l_of")).select(F.col("sid").alias("k"), "least"))
     return rows.join(by_set, F.col("sid") == F.col("k")).select("doc", "txt", F.col("least.doc").alias("component_id"), F.col("least.txt").alias("component_txt"))
