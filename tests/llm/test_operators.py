@@ -374,6 +374,17 @@ def brute_fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+@pytest.mark.parametrize("step", [1, 7, 1 << 20])
+def test_shingles_come_in_steps(monkeypatch, step):
+    from treesift.llm import shingles
+
+    monkeypatch.setattr(shingles, "STEP", step)
+    for t in [*TEXTS, "a b", "a b c", " Ab\tc  d\x0be ", "x" * 50 + " y"]:
+        assert simhash.fingerprint(t) == brute_fingerprint(t)
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        assert sum(map(len, shingles.shingle_hashes(t, 5, 1))) == (max(1, len(words) - 4) if words else 0)
+
+
 def test_simhash(spark, docs):
     own = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text").unionByName(docs.select("doc_id", "text"))
     rows = plain(own, "doc_id", "text")
