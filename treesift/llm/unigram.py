@@ -40,7 +40,7 @@ from treesift.llm.common import by_row, chunks, compact, gather, id_field, read_
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Text that is encoded and decoded at a time.
-CODE_BYTES = 4 << 20
+CODE_BYTES = 2 << 20
 #: Bytes from which a pre-token is split alone, and how many of its starts are matched at a time.
 LONG, STARTS = 192, 1 << 16
 _NORMAL, _UNKNOWN, _BYTE, _USER = 1, 2, 6, 4
