@@ -190,6 +190,9 @@ class WordEncoder:
 
     #: Without capitals whose lower forms are above U+024F, such as U+018F: _cut would take those for symbols.
     _plain = "^[!-~" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c not in "×÷" and max(c.lower()) <= "ɏ") + "]+$"
+    #: The characters that byte-level models show bytes as: printable ones of Latin-1 as themselves, the others from U+0100 on in turn.
+    _shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    _bytes = {b: c for b, c in [*zip(_shown, _shown, strict=True), *zip(sorted(set(range(256)) - set(_shown)), range(256, 512), strict=False)]}
     #: The model's pattern, as far as such words need it.
     _cut = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9]+)"
 
@@ -201,16 +204,21 @@ class WordEncoder:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
         pattern = (steps[0].get("pattern") or {}).get("Regex")
-        self.fast = kinds == ["NFC", "Replace", "Lowercase"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and all("<|" in t["content"] for t in spec["added_tokens"]) and steps[-1].get("type") == "ByteLevel"
+        self.fast = kinds == ["NFC", "Replace", "Lowercase"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and all("<|" in t["content"] for t in spec["added_tokens"]) and steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space") and spec["model"]["type"] == "BPE"
         if not self.fast and "Replace" not in kinds:
             raise ValueError("this model may not drop white space")
-        self.pieces = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": steps[-1], "added_tokens": []})) if self.fast else None
+        self.pieces = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": steps[-1], "added_tokens": []})).model if self.fast else None
         self.known: dict[str, bytes] = {}
 
     @staticmethod
     def _encoded(model, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in model.encode_batch_fast(words, add_special_tokens=False)] if words else []
 
+    def _encoded_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each pre-token by the library's model itself, to which its byte-level step would give the characters of _bytes."""
+        cut, table = self.pieces.tokenize, self._bytes
+        return [array("I", [t.id for t in cut(w if w.isascii() else w.encode().decode("latin-1").translate(table))]).tobytes() for w in pieces]
+
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each word's ids start, how many they are, and all ids joined."""
         plain = pc.and_not(pc.match_substring_regex(words, self._plain), pc.match_substring(words, "<|")) if self.fast else pa.array(np.zeros(len(words), bool))
@@ -241,7 +249,7 @@ class WordEncoder:
             made = list(map(self.known.get, distinct))
             new = [k for k, v in enumerate(made) if v is None]
             names = [distinct[k] for k in new]
-            ids = self._encoded(self.pieces, names)
+            ids = self._encoded_pieces(names)
         finally:
             if collecting:
                 gc.enable()
