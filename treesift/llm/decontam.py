@@ -66,7 +66,7 @@ def _pieces(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     cut = docs.select(*others, words_of(F.col("text")).alias("all"))
     parts = F.expr(f"if(size(all) <= {PIECE}, array(all), transform(sequence(0, size(all) - 1, {PIECE}), a -> slice(all, a + 1, {PIECE + WIDTH - 1})))")
-    return cut.select(*others, F.explode(parts).alias("w"))
+    return cut.select(*others, F.explode_outer(parts).alias("w"))
 
 
 def _all(make: Callable[[str, int], str], widths: list[int]) -> str:
@@ -85,9 +85,9 @@ def item_units(items: DataFrame, threshold: float) -> DataFrame:
 
 
 def sketches(units: DataFrame) -> DataFrame:
-    """(u, least, hash) for the hashes in each item's sketch; `least` is how many words a document needs to hold it."""
+    """(u, need, hash) for the hashes in each item's sketch; a document with fewer than `need` shingles can't hold it."""
     smallest = F.slice(F.array_sort(F.expr("transform(shingles, s -> s.hash)")), F.lit(1), F.col("n") - F.col("need") + 1)
-    return units.select("u", (F.col("need") + F.col("width") - 1).alias("least"), F.explode(smallest).alias("hash"))
+    return units.select("u", "need", F.explode(smallest).alias("hash"))
 
 
 def _sent(df: DataFrame, rows: int) -> DataFrame:
@@ -98,14 +98,15 @@ def _held(docs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     """(doc, txt, u, n_shared, n): documents of docs(doc, txt, text), named by id and hash of the text, that hold enough of an item."""
     sketch = checkpointed(sketches(units))
     widths = [r.width for r in units.select("width").distinct().orderBy("width").collect()]  # 1 to 5
-    probe = _sent(sketch.select("u", "least", F.col("hash").alias("i_hash")), sketch.count())
-    words = docs.select("doc", "txt", words_of(F.col("text")).alias("w"))
-    each = words.select("doc", "txt", F.size("w").alias("n_words"), F.explode(F.expr(f"array_distinct({_all(_hashes, widths)})")).alias("hash"))
-    found = each.join(probe, (F.col("hash") == F.col("i_hash")) & (F.col("least") <= F.col("n_words"))).select(F.col("doc").alias("c_doc"), F.col("txt").alias("c_txt"))
+    probe = _sent(sketch.select("u", "need", F.col("hash").alias("i_hash")), sketch.count())
+    hashes = docs.select("doc", "txt", words_of(F.col("text")).alias("w")).select("doc", "txt", F.expr(f"array_distinct({_all(_hashes, widths)})").alias("hs"))
+    # outer: a plain explode filters its array first, and so would compute it twice; nulls join nothing
+    each = hashes.select("doc", "txt", F.size("hs").alias("n_doc"), F.explode_outer("hs").alias("hash"))
+    found = each.join(probe, (F.col("hash") == F.col("i_hash")) & (F.col("need") <= F.col("n_doc"))).select(F.col("doc").alias("c_doc"), F.col("txt").alias("c_txt"))
     candidates = checkpointed(found.distinct())
     named = F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("txt") == F.col("c_txt"))
     near = _pieces(docs.join(_sent(candidates, candidates.count()), named, "left_semi"))
-    windows = near.select("doc", "txt", F.explode(F.expr(_all(_shingles, widths))).alias("x")).select("doc", "txt", "x.hash", "x.shingle")
+    windows = near.select("doc", "txt", F.explode_outer(F.expr(_all(_shingles, widths))).alias("x")).select("doc", "txt", "x.hash", "x.shingle")
     own = units.select("u", "n", "need", F.posexplode("shingles").alias("k", "s")).select("u", "n", "need", "k", F.col("s.hash").alias("i_hash"), F.col("s.shingle").alias("i_shingle"))
     size = units.agg(F.coalesce(F.sum(F.expr("aggregate(shingles, 0L, (a, s) -> a + octet_length(s.shingle))")), F.lit(0))).first()[0]
     own = F.broadcast(own) if size <= WIDTH * BROADCAST_BYTES else own
