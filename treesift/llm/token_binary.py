@@ -41,7 +41,7 @@ SEGMENTS_PER_FILE = 16
 #: Pre-tokens that a worker remembers between chunks.
 REMEMBERED = 300_000
 #: Text that is encoded at a time.
-ENCODE_BYTES = 6 << 20
+ENCODE_BYTES = 10 << 20
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
