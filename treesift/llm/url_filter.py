@@ -12,6 +12,7 @@ Urls are handled whole, whatever their length. An empty table gives no rows; oth
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -46,7 +47,10 @@ def read_terms(text: str) -> tuple[tuple[str, bool, float], ...]:
     return tuple(found.values())
 
 
-TERMS = read_terms(TERMS_FILE.read_text(encoding="utf-8"))
+@cache
+def default_terms() -> tuple[tuple[str, bool, float], ...]:
+    """The terms of the file; read on the driver only, as executors have this package in an archive."""
+    return read_terms(TERMS_FILE.read_text(encoding="utf-8"))
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -123,11 +127,12 @@ def url_verdicts(
     id_col: str = "page_id",
     url_col: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    terms: Sequence[tuple[str, bool, float]] = TERMS,
+    terms: Sequence[tuple[str, bool, float]] | None = None,
     limit: float = LIMIT,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, n_strict, n_soft, soft_weight) of every row; no shuffle, only the two columns are read."""
     ship(df.sparkSession)
+    terms = default_terms() if terms is None else tuple(terms)
     schema = f"__id {id_field(df, id_col)}, host string, path string, rule string, verdict string, n_strict int, n_soft int, soft_weight double"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +165,9 @@ def oracle_sql() -> str:
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in ordered]
     rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, ordered, strict=True))
     said = " ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, ordered, strict=True))
-    strict = [t for t, is_strict, _ in TERMS if is_strict]
+    strict = [t for t, is_strict, _ in default_terms() if is_strict]
     # of the soft terms that a url has anywhere, those between boundaries
-    soft = " + ".join(f"CASE WHEN contains(low, '{t}') AND {any_of([t])} THEN {w} ELSE 0 END" for t, is_strict, w in TERMS if not is_strict)
+    soft = " + ".join(f"CASE WHEN contains(low, '{t}') AND {any_of([t])} THEN {w} ELSE 0 END" for t, is_strict, w in default_terms() if not is_strict)
     return f"""
 WITH cut AS (
   SELECT page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS low,
