@@ -376,7 +376,9 @@ class Selector:
         if only_not:
             if hidden is None:
                 return col, None, True
-            return F.filter(col, (lambda x, i: ~holds(judged(x, {k: p.eqNullSafe(i) for k, p in places.items()})[2])) if places else (lambda x: ~holds(judged(x, {})[2]))), None, False
+            if places:
+                return self._with_places(places, lambda at: F.filter(col, lambda x, i: ~holds(judged(x, at(i))[2]))), None, False
+            return F.filter(col, lambda x: ~holds(judged(x, {})[2])), None, False
         if value is None or here is None:
             return None, None, False
         if places:
