@@ -30,7 +30,7 @@ def timed(df):
     return rows
 
 
-@pytest.mark.parametrize("name", ["pos_nested", "pos_nested_not", "pos_nested_union"])
+@pytest.mark.parametrize("name", ["pos_nested", "pos_nested_not", "pos_nested_union", "pos_nested_test"])
 def test_query_of_a_long_list(spark, customers, name):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW customer AS SELECT * FROM '{customers}/customer.parquet/*.parquet'")
