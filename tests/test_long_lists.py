@@ -38,6 +38,13 @@ def test_query_of_a_long_list(spark, customers, name):
     assert want and sorted(map(tuple, timed(queries()[name](spark, customers)))) == sorted(want)
 
 
+@pytest.mark.parametrize("name", ["pos_nested_union"])
+def test_list_is_made_once(spark, customers, name):
+    """Its condition and those that Spark infers from explode would each make it again."""
+    plan = queries()[name](spark, customers)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("struct(p0") == 1
+
+
 @pytest.mark.parametrize(("text", "want"), [("tag[. != 't1'][2]", ["t2"]), ("!tag[2]", ["t0", *[f"t{k}" for k in range(2, LENGTH)]])])
 def test_long_leaf_list(spark, text, want):
     df = spark.range(1).select("id", F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda k: F.concat(F.lit("t"), k.cast("string"))).alias("tag"))

@@ -242,10 +242,14 @@ class Selector:
         if full is None and not deeper and not any(not p.absolute for p in paths):
             return df.where(F.lit(False))
         rest = [*deeper, *[(p, 0, None) for p in paths if not p.absolute]]
-        columns, exist, changed = [], [], False
+        columns, exist, changed, lists = [], [], False, []
         for f in df.schema.fields:
             value, here, same = self._visible(f.name, F.col(f"`{f.name}`"), f.dataType, rest, only_not)
             changed |= not same
+            if here is not None and isinstance(f.dataType, T.ArrayType) and self._placed_steps(f.name, rest):
+                lists.append(value.alias(f"l{len(lists)}"))
+                value = F.col("__lists")[f"l{len(lists) - 1}"]
+                here = F.size(value) > 0
             if here is not None:
                 exist.append(here)
             columns.append((f.name, value, same))
@@ -254,6 +258,8 @@ class Selector:
             keep = e if keep is None else (holds(keep) | holds(e))
         if keep is None:
             return df.where(F.lit(False))
+        if lists:  # nothing is pushed through a generator, so these are made once for a row, not again in each condition on them
+            df = df.select("*", F.explode(F.array(F.struct(*lists))).alias("__lists"))
         out = df.where(keep) if hidden is None else df.where(holds(keep) & ~holds(hidden))
         if full is not None and not exist and not (only_not and changed):
             return out
@@ -294,13 +300,15 @@ class Selector:
         return shown, hidden, deeper
 
     @staticmethod
-    def _places(name: str, col: Column, going: list, test: Callable[[object], Callable[[Column], Column]]) -> dict:
-        """For each step with positions that may match elements of an array: the place, from 0, of the one that its predicates leave in turn, or NULL."""
+    def _placed_steps(name: str, going: list) -> list[tuple[Path, int]]:
+        """The steps with positions that may match elements of an array of this name."""
+        return [(p, k) for p, k, _ in going if p.steps[k].name in ("*", name) and any(map(is_position, p.steps[k].predicates))]
+
+    def _places(self, name: str, col: Column, going: list, test: Callable[[object], Callable[[Column], Column]]) -> dict:
+        """For each of these steps: the place, from 0, of the element that its predicates leave in turn, or NULL."""
         found = {}
-        for path, k, _ in going:
+        for path, k in self._placed_steps(name, going):
             step = path.steps[k]
-            if step.name not in ("*", name) or not any(map(is_position, step.predicates)):
-                continue
             left = F.transform(col, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
             for node in step.predicates:
                 left = F.filter(left, _nth(node.value) if is_position(node) else test(node))
