@@ -38,7 +38,7 @@ def test_query_of_a_long_list(spark, customers, name):
     assert want and sorted(map(tuple, timed(queries()[name](spark, customers)))) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["pos_nested_union"])
+@pytest.mark.parametrize("name", ["pos_nested_union", "pos_nested_test"])
 def test_list_is_made_once(spark, customers, name):
     """Its condition and those that Spark infers from explode would each make it again."""
     plan = queries()[name](spark, customers)._jdf.queryExecution().optimizedPlan().toString()
@@ -49,3 +49,13 @@ def test_list_is_made_once(spark, customers, name):
 def test_long_leaf_list(spark, text, want):
     df = spark.range(1).select("id", F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda k: F.concat(F.lit("t"), k.cast("string"))).alias("tag"))
     assert [r.tag for r in timed(select(df, text, "top", keys=["id"]))] == [want]
+
+
+@pytest.mark.parametrize(("text", "want"), [("top/item[v > 0][2]", [4]), ("top/item[3][v > 0]", [3]), ("top/item[v > 0][2][2]", None), ("top/item[2147483648]", None), ("top/item[99999999999999999999] | top/item[v > 0][1]", [3])])
+def test_position_among_elements_left(spark, text, want):
+    """Taken from the elements left, not looked for in them; one that no list has leaves none."""
+    df = spark.createDataFrame([(1, [(1, None), (2, -1.0), (3, 0.5), (4, 2.0)]), (2, None)], "id int, item array<struct<k:int,v:double>>")
+    kept = select(df, text, "top", keys=["id"])
+    assert [[e.k for e in r.item] for r in kept.collect()] == ([] if want is None else [want])
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in plan or want is None

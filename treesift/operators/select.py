@@ -127,8 +127,15 @@ def _instances(dtype: T.DataType) -> T.StructType | None:
     return None
 
 
-def _nth(n: int | float) -> Callable[[Column, Column], Column]:
-    return lambda x, i: i == int(n) - 1 if n == int(n) else F.lit(False)
+def _index(n: int | float) -> int | None:
+    """A position as a list's index from 0; None where no list can have it."""
+    return int(n) - 1 if 1 <= n < 2**31 and n == int(n) else None
+
+
+def _nth(items: Column, n: int | float) -> Column:
+    """The n-th of a list in a list of its own, or an empty list."""
+    at = _index(n)
+    return F.slice(items, 1, 0) if at is None else F.slice(items, at + 1, 1)
 
 
 def _every_name(dtype: T.DataType) -> set[str]:
@@ -309,9 +316,13 @@ class Selector:
         found = {}
         for path, k in self._placed_steps(name, going):
             step = path.steps[k]
-            left = F.transform(col, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-            for node in step.predicates:
-                left = F.filter(left, _nth(node.value) if is_position(node) else test(node))
+            first, *rest = step.predicates
+            if is_position(first):
+                left = F.transform(_nth(col, first.value), lambda x: F.struct(F.lit(_index(first.value) or 0).alias("i"), x.alias("x")))
+            else:
+                left = F.filter(F.transform(col, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), test(first))
+            for node in rest:
+                left = _nth(left, node.value) if is_position(node) else F.filter(left, test(node))
             found[id(path), k] = F.get(left, F.lit(0))["i"]
         return found
 
